@@ -1,17 +1,68 @@
-"""One query for each operator, over its whole table."""
+"""One query for each operator, over its whole table, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .langid import identify
+from .license import scan
+from .linededup import line_report
+from .lm import lm_scores
 from .minhash import near_duplicates
+from .mixing import mix
+from .packing import digest, pack
+from .quality import judge
+from .sharding import shard
+from .topk import top_k
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_minhash": op2_minhash}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_report(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_line_dedup, op4_packing, op5_mixing, op6_language_id, op7_lm_scoring, op8_sharding, op9_exact_top_k, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {}
