@@ -28,6 +28,8 @@ from .shingles import mix, text_slices
 
 SLOTS, HASHES, LEAST, CONTRAST = 1 << 19, 3, 2e-6, 0.35
 MOST_LANGUAGES = 1024
+#: Clean texts score above 0.8; a text with less than this share of known trigrams is in no language learnt.
+LEAST_SCORE = 0.4
 _U = np.uint64
 
 
@@ -183,10 +185,10 @@ def _predict(shared):
     return run
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs without text, with _lang and _score."""
+def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataFrame:
+    """docs, without text unless that is asked for, with _lang and _score."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rest = docs.drop("text")
+    rest = docs if keep_text else docs.drop("text")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields)
     return docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col("text").cast("string").alias("_text")).mapInArrow(_predict(shared), f"{fields}_lang string, _score double")
 
@@ -206,3 +208,9 @@ def identify(docs: DataFrame) -> DataFrame:
     filters = train(docs.where(~held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     return predict(rows, filters).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is recognised with a score of at least `least`."""
+    filters = train(docs.where(fold(F.col("doc_id"), 3) != 1))
+    return predict(docs, filters, keep_text=True).where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -253,6 +253,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of docs that stay when each group of near-duplicates keeps its smallest doc_id (of equal rows, one)."""
-    stays = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept
+    stays = near_duplicates(docs, percent).where("kept").groupBy(F.col("doc_id").alias("_stays")).agg(F.count("*").alias("_alike"))
+    kept = docs.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")))
+    # Rows with one id and one text are one document, kept once.
+    once = kept.where("_alike = 1").unionByName(kept.where("_alike > 1").dropDuplicates(["doc_id", "text"]))
+    # An id can stand for several texts, of which some are copies of other documents.
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FULL, END_ID = 2048, 1
-#: Chunks whose ids a worker remembers, at most; about 150 bytes each.
-REMEMBER = 400_000
+#: Chunks in each of the two generations that a worker remembers; about 200 bytes each.
+REMEMBER = 500_000
 
 
 def binary_pieces(n: int, full: int = FULL) -> list[tuple[int, int]]:
@@ -36,10 +36,11 @@ def binary_pieces(n: int, full: int = FULL) -> list[tuple[int, int]]:
 
 
 class WordwiseTokenizer:
-    """Ids of whole texts from a byte-level BPE tokenizer, remembered by chunk.
+    """Ids of whole texts from a byte-level BPE tokenizer, remembered by word.
 
     The tokenizer's own pattern always cuts before a single space between two characters that are not white space, so
-    texts are cut there, and each chunk's ids are those of the chunk alone."""
+    texts are cut there, and each chunk's ids are those of the chunk alone. Chunks are remembered in two
+    generations: when the new one is full, it becomes the old one, and what is met again moves up."""
 
     def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer
@@ -48,56 +49,92 @@ class WordwiseTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.remember = remember
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         # The byte-level alphabet: printable bytes stand for themselves, the rest for 256, 257, ... in order.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
-        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.table = [self.letters[b] for b in range(256)]
-
-    def _part(self, part: str) -> bytes:
-        """Ids of one word of the pattern."""
-        if (ids := self.parts.get(part)) is None:
-            mapped = "".join([self.table[b] for b in part.encode()])
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.parts) >= self.remember:
-                self.parts.clear()
-            self.parts[part] = ids
+        self.table = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join([self.packed[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
+
+    def _letters(self, word: str, lead: str) -> bytes:
+        """Ids of a word of letters alone, after a space or nothing: one word of the tokenizer's pattern."""
+        table = self.table
+        mapped = word if word.isascii() else "".join([table[b] for b in word.encode()])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(lead + mapped)])
+
+    def _chunk(self, word: str, spaced: bool) -> bytes:
+        """Ids of a word after a space or nothing, without spaces at its ends."""
+        lead = self.table[32] if spaced else ""
+        if word.isalpha():
+            return self._letters(word, lead)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():
+            stem = word[:-1]
+            head = self.new.get(stem) if spaced else None
+            return (head or self._letters(stem, lead)) + self._bare(word[-1])
+        if "\n" in word:
+            # A single line feed between visible characters is a word of the pattern by itself.
+            parts = word.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                head = self._remember(parts[0]) if spaced else self._bare(parts[0])
+                feed = self._bare("\n")
+                return head + b"".join([feed + self._bare(x) for x in parts[1:]])
+        return self._whole(" " + word if spaced else word)
+
+    def _bare(self, word: str) -> bytes:
+        """Ids of a word after nothing."""
+        if (ids := self.bare.get(word)) is None:
+            ids = self._whole(word) if word == "\n" else self._chunk(word, False)
+            if len(self.bare) >= self.remember // 4:
+                self.bare = {}
+            self.bare[word] = ids
         return ids
 
-    def _chunk(self, chunk: str) -> bytes:
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isalpha():
-            return self._part(chunk)
-        if body[-1:] in (".", ",") and body[:-1].isalpha():
-            return self._part(chunk[:-1]) + self._part(chunk[-1])
-        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
     def ids(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit each."""
-        if any(s in text for s in self.special) and any(" " in s for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out, known = [], self.known
         words = text.split(" ")
-        held = words[0]
-        lead = False
+        if any(x in text and (" " in x or "\n" in x) for x in self.special):
+            return self._whole(text)
+        out = list(map(self.new.get, words))
+        # The first chunk has no space before it; the others must be cut at a space between visible characters.
+        out[0] = None
+        if None in out[1:]:
+            for i, ids in enumerate(out):
+                if ids is None and i:
+                    word = words[i]
+                    if not word or word[0].isspace() or word[-1].isspace():
+                        return self._slow(words)
+                    out[i] = self._remember(word)
+        if not words[0] or words[0][0].isspace() or words[0][-1].isspace():
+            return self._slow(words)
+        out[0] = self._bare(words[0])
+        return b"".join(out)
+
+    def _remember(self, word: str) -> bytes:
+        if (ids := self.new.get(word)) is None:
+            if (ids := self.old.pop(word, None)) is None:
+                ids = self._chunk(word, True)
+            if len(self.new) >= self.remember:
+                self.old, self.new = self.new, {}
+            self.new[word] = ids
+        return ids
+
+    def _slow(self, words: list[str]) -> bytes:
+        """Where some spaces stand beside white space: words that can't be cut apart stay together."""
+        out, held, lead = [], words[0], False
         for word in words[1:]:
-            # A cut needs a visible character on both sides of the space.
             if held and word and not held[-1].isspace() and not word[0].isspace():
-                key = " " + held if lead else held
-                if (ids := known.get(key)) is None:
-                    ids = self._chunk(key)
-                    if len(known) >= self.remember:
-                        known.clear()
-                    known[key] = ids
-                out.append(ids)
+                out.append(self._remember(held) if lead and not held[0].isspace() else self._chunk(held, lead))
                 held, lead = word, True
             else:
                 held = f"{held} {word}"
-        if held or lead:
-            out.append(self._chunk(" " + held if lead else held))
+        out.append(self._chunk(held, lead))
         return b"".join(out)
 
 
