@@ -71,21 +71,22 @@ class LineRuns:
         rows.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", scratch(self.spark)).saveAsTable(name)
         return name
 
-    def rows(self) -> DataFrame | None:
-        """What all runs hold, a row for each key and run."""
-        out = None
-        for name in (x for level in self.levels for x in level):
-            one = self.spark.table(name)
-            out = one if out is None else out.unionByName(one)
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One row for each key of several runs, by merge joins of the sorted buckets.
+
+        Not a union with an aggregate above: Spark 4.1 takes a union of equally bucketed tables for one
+        partitioning and then leaves out the exchange that would bring the runs' rows of a key together."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            more = self.spark.table(name).select("h1", "h2", F.col("n").alias("_n"), F.col("keeper").alias("_keeper")).hint("merge")
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("_n", F.lit(0))
+            out = out.join(more, ["h1", "h2"], "full_outer").select("h1", "h2", n.alias("n"), F.greatest("keeper", "_keeper").alias("keeper"))
         return out
 
     def merged(self) -> DataFrame | None:
-        rows = self.rows()
-        return None if rows is None else self._fold(rows)
-
-    @staticmethod
-    def _fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+        """What all runs hold, a row for each key."""
+        names = [x for level in self.levels for x in level]
+        return self._merged(names) if names else None
 
     def fresh(self, batch: DataFrame) -> DataFrame:
         """Rows of batch (with h1, h2) whose key no run holds: one merge anti-join for each run."""
@@ -110,11 +111,7 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan:
-            rows = None
-            for x in self.levels[level]:
-                one = self.spark.table(x)
-                rows = one if rows is None else rows.unionByName(one)
-            merged = self._write(self._fold(rows))
+            merged = self._write(self._merged(self.levels[level]))
             for x in self.levels[level]:
                 self.spark.sql(f"DROP TABLE {x}")
             self.levels[level] = []
