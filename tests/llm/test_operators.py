@@ -310,6 +310,21 @@ def test_model_gradients_and_windows():
     assert scored[:51] == [*range(50), lm.END]
 
 
+@pytest.mark.parametrize("scale", [1, 40])
+def test_scoring_equals_the_trained_form(scale):
+    r = np.random.default_rng(6)
+    m = lm.ClassModel(r.integers(0, 50, lm.IDS + 1))
+    for k in ("Q", "K", "W"):
+        m.p[k] *= scale
+    w, _ = lm.windows_of([r.integers(0, 3000, 200)])
+    goal = w[:, lm.CONTEXT + 1 :]
+    logits = m.forward(m.input_of[w[:, :-1]])[0].astype(float)
+    at = m.class_of[goal.ravel()]
+    top = logits.max(axis=1)
+    want = logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1)) + m.within[goal.ravel()]
+    assert np.abs(m.log_probabilities(m.input_of[w[:, :-1]], goal).ravel() - want).max() < 2e-2 * scale
+
+
 def test_model_is_a_distribution():
     m = lm.ClassModel(np.random.default_rng(0).integers(0, 50, lm.IDS + 1))
     w, _ = lm.windows_of([np.arange(5)])
