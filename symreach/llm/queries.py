@@ -16,8 +16,11 @@ from .mixing import mix
 from .packing import digest, pack
 from .quality import judge
 from .sharding import shard
+from .sql import ORACLES
 from .topk import top_k
 
+__all__ = ["ORACLES", "QUERIES"]
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -64,5 +67,3 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_minhash, op3_line_dedup, op4_packing, op5_mixing, op6_language_id, op7_lm_scoring, op8_sharding, op9_exact_top_k, op10_quality_rules)}
-
-ORACLES: dict[str, str] = {}
