@@ -147,20 +147,139 @@ class DispatchApp(Plugin):
         tops = {c.rsplit(".", 1)[0] for c in self.classes}
         active = fact(view, "import").where(reduce(lambda a, b: a | b, [(F.get("v", F.lit(0)) == t) | F.get("v", F.lit(0)).startswith(f"{t}.") for t in tops])).select("path").distinct()
         edges = dispatch_edges(apps.join(active, "path", "left_semi"), handlers)
-        return Ops(Ops.keep_alive(made).flags if self.seed else None, edges)
+        kept = made
+        if self.name in SHARED_TASKS:
+            kept = kept.unionByName(decorated(view).where(F.col("full").isin(SHARED_TASKS[self.name])).select("node_id"))
+        return Ops(Ops.keep_alive(kept).flags if self.seed else None, edges)
 
 
-# App classes, registering methods, and whether apps are entry points.
+# Each framework's app classes, the decorators that register handlers, and whether apps are entry points.
 FRAMEWORKS = {
+    "flask": (
+        ["flask.Flask"],
+        """route get post put delete patch before_request after_request teardown_request teardown_appcontext
+        before_first_request before_app_request after_app_request teardown_app_request before_app_first_request
+        errorhandler app_errorhandler context_processor app_context_processor template_filter app_template_filter
+        template_test app_template_test template_global app_template_global url_value_preprocessor
+        app_url_value_preprocessor url_defaults app_url_defaults shell_context_processor record record_once""".split(),
+        True,
+    ),
+    "fastapi": (["fastapi.FastAPI"], "get post put delete patch options head trace api_route websocket websocket_route middleware exception_handler on_event".split(), True),
     "typer": (["typer.Typer"], ["command", "callback"], False),
     "cyclopts": (["cyclopts.App"], ["command", "default"], False),
-    "fastmcp": (["fastmcp.FastMCP"], ["tool", "resource", "prompt", "completion"], True),
+    "slack_bolt": (["slack_bolt.App", "slack_bolt.async_app.AsyncApp"], "event message command action shortcut view options error step function".split(), True),
+    "fastmcp": (["fastmcp.FastMCP", "mcp.server.fastmcp.FastMCP"], ["tool", "resource", "prompt", "completion"], True),
     "celery": (["celery.Celery"], ["task"], True),
 }
+SHARED_TASKS = {"celery": ["celery.shared_task"]}
+
+
+class MainBlock(Plugin):
+    """Keeps alive modules with a main block and what is declared in the block."""
+
+    name = "main_block"
+
+    def run(self, view: GraphView) -> Ops:
+        blocks = view.facts_for("main_block").select("path", F.from_json("value", "array<int>").alias("b")).select("path", F.get("b", F.lit(0)).alias("low"), F.get("b", F.lit(1)).alias("high"))
+        inside = view.nodes.join(blocks, "path").where((F.col("kind") == "module") | F.col("start_line").between(F.col("low"), F.col("high")))
+        return Ops.keep_alive(inside)
+
+
+class MockPatch(Plugin):
+    """Edges from what patches a dotted name in tests to that declaration."""
+
+    name = "mock_patch"
+    # Patching calls by their full names, and methods of a monkeypatch argument with their number of arguments.
+    CALLS = ("unittest.mock.patch", "mock.patch")
+    METHODS = {"monkeypatch.setattr": 2, "monkeypatch.delattr": 1}
+
+    def run(self, view: GraphView) -> Ops:
+        sites = call_sites(view)
+        by_name = sites.where(F.col("full").isin(*self.CALLS))
+        for spelling, arity in self.METHODS.items():
+            by_name = by_name.unionByName(sites.where((F.col("spelled") == spelling) & (F.col("arity") == arity)))
+        names = by_name.select("node_id", F.explode(F.get("strings", F.lit(0))).alias("name"))
+        found = find_declarations(view.nodes, names.select("name")).unionByName(last_modules(view.nodes).select(F.col("fqname").alias("name"), "node_id")).withColumnRenamed("node_id", "dst")
+        return Ops(edges=names.join(found, "name").select(F.col("node_id").alias("src"), "dst", F.lit(0).alias("flags")).where("src <> dst").distinct())
+
+
+def call_sites(view: GraphView) -> DataFrame:
+    """node_id (the declaration or module that calls), path, spelled, full, arity and strings (for each argument its strings or null)."""
+    d = view.facts_for("call").select("node_id", "path", F.get_json_object("value", "$[0]").alias("spelled"), F.get_json_object("value", "$[1]").cast("int").alias("arity"), F.from_json(F.get_json_object("value", "$[2]"), "array<array<string>>").alias("strings"))
+    return spelled(view, d, "spelled")
+
+
+def calls_to(view: GraphView, names: list[str], argument: int = 0) -> DataFrame:
+    """(node_id, value) of calls to functions of those full names with strings as that argument."""
+    return call_sites(view).where(F.col("full").isin(names)).select("node_id", F.explode(F.get("strings", F.lit(argument))).alias("value"))
+
+
+def calls_on_attr(view: GraphView, attr: str, argument: int = 0) -> DataFrame:
+    """(node_id, value) of calls of a method of any receiver."""
+    own = call_sites(view).where(F.col("spelled").contains(".") & (F.substring_index("spelled", ".", -1) == attr))
+    return own.select("node_id", F.explode(F.get("strings", F.lit(argument))).alias("value"))
+
+
+def calls_on_var(view: GraphView, var: str, attr: str, arity: int, argument: int = 0) -> DataFrame:
+    own = call_sites(view).where((F.col("spelled") == f"{var}.{attr}") & (F.col("arity") == arity))
+    return own.select("node_id", F.explode(F.get("strings", F.lit(argument))).alias("value"))
+
+
+def constructions(view: GraphView, names: list[str]) -> DataFrame:
+    """(node_id, full) of variables that calls of those names make."""
+    made = spelled(view, view.facts_for("construction").select("node_id", "path", F.col("value").alias("ctor")), "ctor")
+    return made.where(F.col("full").isin(names)).select("node_id", "full")
+
+
+def factories(view: GraphView, names: list[str]) -> DataFrame:
+    """(node_id, kinds): declarations in whose text those are called, with the sorted names."""
+    made = spelled(view, view.facts_for("factory").select("node_id", "path", F.col("value").alias("ctor")), "ctor").where(F.col("full").isin(names))
+    return made.groupBy("node_id").agg(F.array_sort(F.collect_set("full")).alias("kinds"))
+
+
+def decorated_decls(view: GraphView, names: list[str]) -> DataFrame:
+    """(node_id, full, kwargs): one row for each declaration, the name that stands first in names winning."""
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("full"))
+    own = decorated(view).where(F.col("full").isin(names)).withColumn("_rank", rank)
+    best = own.groupBy("node_id").agg(F.min_by(F.struct("full", "kwargs"), "_rank").alias("x"))
+    return best.select("node_id", "x.full", "x.kwargs")
+
+
+def handler_decorators(view: GraphView, attrs: list[str], via: str | None = None) -> DataFrame:
+    """(node_id, owner): declarations with @owner.attr, or @owner.via.attr."""
+    parts = F.split("name", "[.]")
+    d = decorated(view).select("node_id", parts.alias("parts")).where(F.size("parts") == (2 if via is None else 3))
+    if via is not None:
+        d = d.where(F.get("parts", F.lit(1)) == via)
+    return d.where(F.element_at("parts", -1).isin(attrs)).select("node_id", F.get("parts", F.lit(0)).alias("owner")).distinct()
+
+
+def classes_defining(view: GraphView, method: str) -> DataFrame:
+    return fact(view, "methods").where(F.array_contains("v", method)).select("node_id").distinct()
+
+
+def parameters(view: GraphView, ids: DataFrame, topic: str = "params") -> DataFrame:
+    """(node_id, parameters) for each of ids; of other nodes an empty list. topic class_params: of classes' methods."""
+    return ids.join(fact(view, topic).select("node_id", F.col("v").alias("parameters")), "node_id", "left").select("node_id", F.coalesce("parameters", F.array().cast(STRINGS)).alias("parameters"))
+
+
+def dunder_all(view: GraphView) -> DataFrame:
+    """(path, exports): the declarations that a module's last __all__ names; empty if it can't be read, no row without one."""
+    last = fact(view, "all").groupBy("path").agg(F.max_by("v", "node_id").alias("names"))
+    own = view.nodes.where("kind NOT IN ('module', 'external')").select("path", simple_name(F.col("fqname")).alias("name"), "node_id")
+    hits = last.select("path", F.explode("names").alias("name")).join(own, ["path", "name"]).groupBy("path").agg(F.array_sort(F.collect_set("node_id")).alias("exports"))
+    return last.select("path").join(hits, "path", "left").select("path", F.coalesce("exports", F.array().cast("array<bigint>")).alias("exports"))
+
+
+def literal_entries(view: GraphView, name: str) -> DataFrame:
+    """(path, entries): the strings of all lists of that name in a file, in order."""
+    own = view.nodes.where(simple_name(F.col("fqname")) == name).select("node_id")
+    lists = fact(view, "literals").join(own, "node_id", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("node_id", "v"))).alias("x"))
+    return lists.select("path", F.flatten(F.transform("x", lambda y: y["v"])).alias("entries"))
 
 
 def builtin(name: str, **options) -> Plugin:
     """A plug-in by name; KeyError for an unknown one."""
     if name in FRAMEWORKS:
         return DispatchApp(name, *FRAMEWORKS[name])
-    return {"pytest": Pytest, "unittest": Unittest, "init_subclass": InitSubclass, "project_scripts": ProjectScripts}[name](**options)
+    return {"main_block": MainBlock, "mock_patch": MockPatch, "pytest": Pytest, "unittest": Unittest, "init_subclass": InitSubclass, "project_scripts": ProjectScripts}[name](**options)

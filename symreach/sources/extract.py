@@ -190,6 +190,7 @@ class Extractor:
             return f
         self.dead = dead_ranges(tree)
         self.block(tree.body)
+        self.main_block(tree.body)
         f.exports = {k: set(v) for k, v in self.live.items() if v}
         for work in self.deferred:
             work()
@@ -652,6 +653,15 @@ class Extractor:
         if isinstance(value, (ast.List, ast.Tuple)) and value.elts and all(isinstance(x, ast.Constant) and isinstance(x.value, str) for x in value.elts):
             self.file.facts.append(("literals", node, json.dumps([x.value for x in value.elts])))
 
+    def main_block(self, body: list[ast.stmt]) -> None:
+        """The lines of the first `if __name__ == "__main__"` at top level, either way round."""
+        for s in body:
+            if isinstance(s, ast.If) and isinstance(s.test, ast.Compare) and len(s.test.ops) == 1 and isinstance(s.test.ops[0], ast.Eq):
+                sides = {getattr(x, "id", getattr(x, "value", None)) if isinstance(x, (ast.Name, ast.Constant)) else None for x in (s.test.left, s.test.comparators[0])}
+                if sides == {"__name__", "__main__"}:
+                    self.file.facts.append(("main_block", 0, json.dumps([s.lineno, s.body[-1].end_lineno])))
+                    return
+
     def anchors(self) -> None:
         for i, n in enumerate(self.file.nodes):
             simple = n.bound or ""

@@ -2,8 +2,9 @@
 
 import pytest
 
+from symreach.plans import builtin as B
 from symreach.plans.builtin import builtin
-from symreach.plans.plugins import Explicit, Ops, Plugin, ServerConfig, run_plugins
+from symreach.plans.plugins import Explicit, GraphView, Ops, Plugin, ServerConfig, run_plugins
 from symreach.plans.resolve import build
 from symreach.sources.files import from_dict
 
@@ -13,6 +14,7 @@ TREE = {
     "lib.py": "def used(): pass\ndef unused(): pass\n",
     "base.py": "class Base:\n  def __init_subclass__(cls): pass\nclass Child(Base): pass\nclass Grand(Child): pass\n",
     "cli.py": "import typer\napp = typer.Typer()\n@app.command()\ndef run(): pass\ndef main(): app()\n",
+    "job.py": "from celery import Celery, shared_task\nfrom unittest import mock\napp = Celery()\n@app.task\ndef t(): pass\n@shared_task\ndef u(): pass\n__all__ = ['t', 'nope']\nNAMES = ['a', 'b']\ndef p(): mock.patch('lib.unused.x')\nif '__main__' == __name__:\n  z = 1\n",
     "srv.py": "from fastmcp import FastMCP as F\nclass Own(F): pass\nmcp = Own()\n@mcp.tool\ndef t(): pass\n",
 }
 
@@ -62,3 +64,25 @@ def test_ids_that_are_no_nodes_stop_all(graph, spark):
         run_plugins(graph, [Bad()], graph.facts)
     with pytest.raises(KeyError):
         builtin("nothing")
+
+
+def test_main_block_mock_and_tasks(graph):
+    g = run_plugins(graph, [builtin("main_block"), builtin("mock_patch"), builtin("celery")], graph.facts)
+    assert {"job", "job.z", "job.app", "job.t", "job.u"} <= reached(g)
+    ids = {r["node_id"]: r["fqname"] for r in g.nodes.collect()}
+    assert ("job.p", "lib.unused") in {(ids[r["src"]], ids[r["dst"]]) for r in g.edges.collect()}
+
+
+def test_fact_lookups(graph):
+    view = GraphView(graph, graph.facts)
+    ids = {r["node_id"]: r["fqname"] for r in graph.nodes.collect()}
+    named = lambda d: {ids[r["node_id"]] for r in d.collect()}
+    assert named(B.constructions(view, ["typer.Typer"])) == {"cli.app"} and named(B.classes_defining(view, "__init_subclass__")) == {"base.Base"}
+    assert [(ids[r["node_id"]], r["value"]) for r in B.calls_to(view, ["unittest.mock.patch"]).collect()] == [("job.p", "lib.unused.x")]
+    assert {(ids[r["node_id"]], r["owner"]) for r in B.handler_decorators(view, ["command"]).collect()} == {("cli.run", "app")}
+    assert named(B.decorated_decls(view, ["pytest.fixture"])) == {"conftest.db", "conftest.make"} and "cli.main" in named(B.factories(view, ["cli.app"]))
+    got = {r["path"]: [ids[x] for x in r["exports"]] for r in B.dunder_all(view).collect()}
+    assert got == {"/w/job.py": ["job.t"]}
+    assert [r["entries"] for r in B.literal_entries(view, "NAMES").collect()] == [["a", "b"]]
+    one = graph.nodes.where("fqname = 'test_a.test_one' OR fqname = 'lib'").select("node_id")
+    assert {ids[r["node_id"]]: r["parameters"] for r in B.parameters(view, one).collect()} == {"test_a.test_one": ["db"], "lib": []}
