@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, small
 from .shingles import mix, text_slices
 
 SLOTS, HASHES, LEAST, CONTRAST = 1 << 19, 3, 2e-6, 0.35
@@ -164,7 +164,7 @@ def train(rows: DataFrame, least: float = LEAST, contrast: float = CONTRAST, slo
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f: Filters = shared.value
-        for batch in batches:
+        for batch in small(batches, 2000):
             lang, score = [], []
             texts = batch.column(batch.schema.names.index("_text"))
             for _, _, data, offsets in text_slices(texts):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, cut, scratch
+from .common import SPACE_CHARS, cut, scratch, small
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN = 40, 5, 4, 2
 KEY = "h1 long, h2 long"
@@ -43,7 +43,7 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> tuple[int, int] | None:
 
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids, a, b = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for key in {line_key(x, min_chars) for x in (text or "").split("\n")} - {None}:
@@ -138,7 +138,7 @@ def fill(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fa
 
 def _drop(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts, lost = batch.column("_text").to_pylist(), batch.column("_lost").to_pylist()
             kept, n, n_dropped = [], [], []
             for text, gone in zip(texts, lost):

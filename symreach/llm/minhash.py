@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small
 from .shingles import mix, shingle_sets
 
 BANDS, ROWS, SKETCH_BITS, BLOCK = 26, 5, 512, 192
@@ -94,7 +94,7 @@ FIRST = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sket
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 1000):
         ids, n, f, mins = batch.column(0), [], [], []
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
@@ -116,7 +116,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(f1, f2, text) to (f1, f2, shingles), where the text has that set."""
-    for batch in batches:
+    for batch in small(batches):
         f1, f2, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
         for i, s in enumerate(shingle_sets(batch.column(2))):
             if _digest(s) == (f1[i], f2[i]):
@@ -208,7 +208,7 @@ def _compare(percent: int):
                     yield pa.RecordBatch.from_arrays([pa.array([int(y[k]) for y in out], pa.int64()) for k in range(4)], ["a1", "a2", "b1", "b2"])
             held.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             cols = [batch.column(k).to_pylist() for k in range(8)]
             for key in zip(*cols):
                 if key[:3] != name:

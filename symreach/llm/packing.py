@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 FULL, END_ID = 2048, 1
 #: Chunks in each of the two generations that a worker remembers; about 200 bytes each.
-REMEMBER = 500_000
+REMEMBER = 150_000
 
 
 def binary_pieces(n: int, full: int = FULL) -> list[tuple[int, int]]:
