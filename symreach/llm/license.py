@@ -2,8 +2,9 @@
 
 A text's units are its lines, its paragraphs (between blank lines) of several lines, and the whole text if it has several paragraphs. A unit's words
 are lower-cased runs of letters and digits; its bigrams form a set. Dice is 2 |A n B| / (|A| + |B|), so it can
-reach t only if |A| lies between t |B| / (2 - t) and (2 - t) |B| / t: units outside all templates' bounds are
-dropped by their word count, and each unit meets only the templates that its size allows, through a join on the size.
+reach t only if |A| lies between t |B| / (2 - t) and (2 - t) |B| / t: each unit meets only the templates that its size allows, through a join on the size. Within the bounds, |A n B|
+is at least |B| t / (2 - t), so a unit without any of the words that stand in more than the rest of a template's bigrams
+can't reach it: units without such a word of any template are dropped before their bigrams are built.
 
 Null or empty text: no match. Repeated rows: each is scanned. Null doc_id: kept. Ties of templates: the name that sorts first.
 Other columns are ignored."""
@@ -47,13 +48,16 @@ TEMPLATES = {
 }
 
 
-def with_bigrams(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the set of the text column's word bigrams; a single word is one by itself."""
+def with_bigrams(df: DataFrame, text: str, out: str, hits: list[str] | None = None) -> DataFrame:
+    """df with the set of the text column's word bigrams; a single word is one by itself. Only rows with a word of hits, if given."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
     n = F.size("_words")
     # Zipped, not indexed: an index would have the words split again for each bigram wherever the optimizer merges the two columns.
     two = F.zip_with(F.slice("_words", F.lit(1), n - 1), F.slice("_words", F.lit(2), n - 1), lambda a, b: F.concat_ws(" ", a, b))
-    return df.withColumn("_words", words).withColumn(out, F.when(n > 1, F.array_distinct(two)).otherwise(F.col("_words"))).drop("_words")
+    d = df.withColumn("_words", words)
+    if hits is not None:
+        d = d.where(F.arrays_overlap("_words", F.array(*map(F.lit, hits))))
+    return d.withColumn(out, F.when(n > 1, F.array_distinct(two)).otherwise(F.col("_words"))).drop("_words")
 
 
 def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, least: str = LEAST) -> DataFrame:
@@ -70,11 +74,31 @@ def templates(spark: SparkSession, texts: dict[str, str] = TEMPLATES, least: str
     return d.withColumn("size", F.explode(F.sequence(F.greatest(lowest, F.lit(1)).cast("int"), highest.cast("int"))))
 
 
+def _grams(text: str) -> list[tuple[str, ...]]:
+    w = re.findall(r"[^\W_]+", text.lower())
+    return sorted(set(zip(w, w[1:]))) if len(w) > 1 else [tuple(w)]
+
+
 def fewest_bigrams(texts: dict[str, str] = TEMPLATES, least: str = LEAST) -> int:
     """A lower bound of the distinct bigrams of a unit that reaches `least` with some template."""
     t = Fraction(least)
-    sizes = [max(1, len(set(zip(w, w[1:])))) for w in (re.findall(r"[^\W_]+", x.lower()) for x in texts.values())]
-    return max(1, floor(min(sizes) * t / (2 - t)))
+    return max(1, floor(min(len(_grams(x)) for x in texts.values()) * t / (2 - t)))
+
+
+def hit_words(texts: dict[str, str] = TEMPLATES, least: str = LEAST) -> list[str]:
+    """Words of which any unit that reaches `least` with some template holds one.
+
+    With the size bounds, such a unit shares at least t / (2 - t) of the template's bigrams. So words that stand in more than
+    the rest of its bigrams can't all be missing. Long words are taken first: they are rare elsewhere."""
+    share = Fraction(least) / (2 - Fraction(least))
+    out: set[str] = set()
+    for text in texts.values():
+        grams = _grams(text)
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
+            if sum(any(w in out for w in g) for g in grams) > (1 - share) * len(grams):
+                break
+            out.add(word)
+    return sorted(out)
 
 
 def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: str = LEAST) -> DataFrame:
@@ -93,7 +117,7 @@ def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES, least: str = LEAST)
     d = d.select("doc_id", F.explode(units).alias("x")).select("doc_id", "x.scope", "x.unit", "x.u")
     # A cheap bound first: n bigrams take n words of one character and a gap each. The join on the size holds the exact bounds.
     d = d.where(F.length("u") >= 2 * fewest)
-    d = with_bigrams(d, "u", "set").drop("u").withColumn("size", F.size("set"))
+    d = with_bigrams(d, "u", "set", hit_words(texts, least)).drop("u").withColumn("size", F.size("set"))
     found = d.join(F.broadcast(templates(spark, texts, least)), "size")
     dice = 2 * F.size(F.array_intersect("set", "own")) / (F.size("set") + F.size("own"))
     found = found.withColumn("dice", dice).where(F.col("dice") >= float(least))
