@@ -15,6 +15,8 @@ from symreach.llm.mixing import mixed_documents
 from symreach.llm.packing import digest, pack
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The least similarity, in per cent, at which the stage takes two documents for copies.
+NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return keep_one(docs)
+    return keep_one(docs, NEAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ buckets with the same members one is kept. A bucket is compared in pairs of bloc
 BLOCK classes: the odd sketches (parity bitmaps of the minima, whose XOR's population count estimates
 the similarity) rule out most pairs, then shared shingles are counted for the rest, and one spanning
 forest of each pair of blocks is emitted, so the output is linear in the rows. At the threshold, a link
-is missed by all bands with probability (1 - 0.85**5)**26 < 3e-7, far less above it, and the sketch rules out
+is missed by all bands with probability (1 - 0.85**5)**26 < 3e-7 (at 0.80, which the pipeline's stage takes, below 4e-5), far less above it, and the sketch rules out
 only what lies more than six standard deviations below the threshold.
 
 Null text, empty text and text without words: an empty set, linked with nothing, its own component.

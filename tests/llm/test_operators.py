@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -99,6 +100,19 @@ def test_keep_one_keeps_one_of_each_group(docs):
     assert ids[100] == 1 and not any(ids[200 + k] for k in range(20)) and ids[307] == 1 and ids[300] == 1
 
 
+def test_the_stage_takes_pairs_from_80_per_cent(spark):
+    # The last m of 104 words differ, so 100 - m of 100 + m shingles are shared.
+    data = []
+    for i, m in enumerate((10, 11, 12)):
+        w = [f"w{i}x{k}" for k in range(104)]
+        data += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[: 104 - m] + [f"z{i}x{k}" for k in range(m)]))]
+    sets = [shingle_set(t) for _, t in data]
+    assert [round(len(a & b) / len(a | b), 2) for a, b in zip(sets[::2], sets[1::2])] == [0.82, 0.8, 0.79]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, d, "").collect()} == {0, 10, 20, 21}
+    assert minhash.keep_one(d).count() == 6
+
+
 def test_blocks_of_a_large_bucket_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
     r = np.random.default_rng(5)
