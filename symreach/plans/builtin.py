@@ -66,16 +66,22 @@ class Pytest(Plugin):
 
 
 class Unittest(Plugin):
-    """Subclasses of unittest's cases are tests."""
+    """Subclasses of unittest's cases are tests; modules that import unittest lead to the hooks that it calls by name."""
 
     name = "unittest"
+    HOOKS = ("setUpModule", "tearDownModule", "load_tests")
 
     def declare(self, registry) -> None:
         self.testcase = registry.nodes.declare("test/testcase", True, True, "a test")
 
     def run(self, view: GraphView) -> Ops:
         found = subclasses_of(view, ["unittest.TestCase", "unittest.IsolatedAsyncioTestCase", "unittest.case.TestCase"])
-        return Ops(flags=found.select("node_id", F.lit(self.testcase).cast("long").alias("bits")))
+        source = F.col("import.module")
+        active = view.nodes.where((F.col("kind") == "import") & ((source == "unittest") | source.startswith("unittest."))).select("path").distinct()
+        hooks = view.nodes.where((F.col("kind") == "function") & simple_name(F.col("fqname")).isin(*self.HOOKS)).select("path", F.col("node_id").alias("dst"))
+        modules = view.nodes.where("kind = 'module'").select("path", F.col("node_id").alias("src"))
+        edges = hooks.join(active, "path", "left_semi").join(modules, "path").select("src", "dst", F.lit(0).alias("flags"))
+        return Ops(found.select("node_id", F.lit(self.testcase).cast("long").alias("bits")), edges)
 
 
 def hierarchy(view: GraphView) -> tuple[DataFrame, DataFrame]:

@@ -40,6 +40,18 @@ def test_pytest_and_unittest(graph):
     assert "lib.used" in {r["fqname"] for r in g.test_only().collect()}
 
 
+def test_unittest_module_hooks(spark):
+    hooks = "def setUpModule(): helper()\ndef tearDownModule(): pass\ndef load_tests(a, b, c): pass\ndef helper(): pass\ndef other(): pass\n"
+    tree = {"a.py": f"import unittest\n{hooks}", "b.py": f"from unittest.case import TestCase as T\n{hooks}", "c.py": f"from unittest import *\n{hooks}", "d.py": f"import unittestx\n{hooks}"}
+    g = build(from_dict(spark, tree), ["/w"])
+    g = run_plugins(g, [builtin("unittest"), Explicit(exact=["a", "b", "c", "d"])], g.facts, "/w")
+    ids = {r["node_id"]: r["fqname"] for r in g.nodes.collect()}
+    found = {(ids[r["src"]], ids[r["dst"]]) for r in g.edges.collect()}
+    wanted = {(m, f"{m}.{h}") for m in "abc" for h in ("setUpModule", "tearDownModule", "load_tests")}
+    assert wanted <= found and not any(a == "d" and b.startswith("d.") and b != "d.unittestx" for a, b in found)
+    assert {"a.setUpModule", "a.helper", "b.load_tests"} <= reached(g) and not {"a.other", "d.setUpModule"} & reached(g)
+
+
 def test_frameworks_scripts_and_hooks(graph):
     g = run_plugins(graph, [builtin("typer"), builtin("fastmcp"), builtin("init_subclass"), builtin("project_scripts", targets=["cli.main"])], graph.facts)
     live = reached(g)
