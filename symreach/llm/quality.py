@@ -8,6 +8,13 @@ holds, for k of n good documents at or above it; this is the Clopper-Pearson bou
 rejection rate staying below RISK / rules. The sequence is fixed, so only strata and rules count as
 multiple tests (Bonferroni). With probability 1 - ERROR all strata reject less than RISK of good documents. Strata with too few labels reject nothing.
 
+With joint, a stratum has one verdict over all rules and one sequence of steps; a step lowers one rule's cutoff. The sequence is read from
+the documents outside the holdout, labelled poor or not labelled, so it is fixed beforehand: first the levels of poor documents whose tails hold no less
+of the poor than the stratum does, by falling share of poor documents in the tail, then all other levels, rule by rule (of these
+only what rejects no further good document). The test is P(X <= k | n, RISK) <= ERROR / strata, for k of n good documents that any rule rejects.
+With k = 0, ln(strata / ERROR) / -ln(1 - RISK) good labels are needed: 217 for four strata, against 1,495 for each rule by itself.
+The SQL of op10 states the cutoffs of each rule by itself, so joint is not what the query takes.
+
 Null or empty text: no words, base_failed. Null lang: a stratum of its own. Null doc_id: no label. Repeated rows: each
 judged. Several labels of one doc_id: the lowest counts. Other columns are ignored."""
 
@@ -97,10 +104,58 @@ def thresholds(rated: DataFrame, labels: DataFrame, risk: float = RISK, error: f
     return passed.groupBy("stratum", "rule").agg(F.min("level").alias("cutoff"), F.first("n").alias("n"), F.max("k").alias("k"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """features() of docs (doc_id, text, lang) with kept; labels: doc_id, quality."""
+def _levels(d: DataFrame) -> DataFrame:
+    """stratum, rule, level and poor of each row and rule."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"level_{r}").alias("level")) for r in RULES]))
+    return d.select("stratum", "poor", pairs.alias("x")).select("stratum", "poor", "x.rule", "x.level")
+
+
+def steps(others: DataFrame) -> DataFrame:
+    """stratum, rule, level and share of the levels that come first, by falling share; others: features() with poor, none of the holdout.
+
+    A level's share of poor documents is the best of the tails that it helps to make: a lower cutoff takes the higher levels along."""
+    cells = cut(_levels(others).groupBy("stratum", "rule", "level").agg(F.sum("poor").alias("poor"), F.count("*").alias("all")))
+    rule = W.partitionBy("stratum", "rule")
+    whole, tail = rule.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), rule.orderBy(F.desc("level"))
+    d = cells.select("stratum", "rule", "level", "poor", *[F.sum(c).over(w).alias(f"{c}_{n}") for c in ("poor", "all") for w, n in ((whole, "whole"), (tail, "tail"))])
+    d = d.where((F.col("level") > 0) & (F.col("poor") > 0) & (F.col("poor_tail") * F.col("all_whole") >= F.col("poor_whole") * F.col("all_tail")))
+    return d.select("stratum", "rule", "level", F.max(F.col("poor_tail") / (F.col("all_tail") + 1)).over(rule.orderBy("level")).alias("share"))
+
+
+def joint_thresholds(rated: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """stratum, rule, cutoff, n and k (of the stratum's whole verdict), where cutoffs hold the risk; rated: features() of all documents."""
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
+    marked = rated.where("NOT base_failed").join(marks, "doc_id", "left")
+    good = F.coalesce(F.col("q") == 1, F.lit(False))
+    held = marked.where(good)
+    known = steps(marked.where(~good).withColumn("poor", F.coalesce(F.col("q") == 0, F.lit(False)).cast("long")))
+    totals = cut(held.groupBy("stratum").agg(F.count("*").alias("n")))
+    tests = max(1, totals.count())
+    place = F.create_map(*[x for i, r in enumerate(RULES) for x in (F.lit(r), F.lit(i))])
+    every = totals.select("stratum", F.explode(F.array(*map(F.lit, RULES))).alias("rule")).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(LEVELS - 1))))
+    every = every.join(known, ["stratum", "rule", "level"], "left")
+    order = W.partitionBy("stratum").orderBy(F.desc_nulls_last("share"), F.when(F.col("share").isNull(), place[F.col("rule")]), F.desc("level"), "rule")
+    path = cut(every.select("stratum", "rule", "level", F.col("share").isNotNull().alias("known"), F.row_number().over(order).alias("step")))
+    # The first step that rejects a level of a rule: the earliest of the cutoffs at or below it.
+    first = path.withColumn("first", F.min("step").over(W.partitionBy("stratum", "rule").orderBy("level")))
+    maps = F.broadcast(first.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "rule", "level"), "first"))).alias("_at")))
+    never = F.lit(len(RULES) * LEVELS)
+    own = F.least(*[F.coalesce(F.element_at("_at", F.concat(F.lit(f"{r} "), F.col(f"level_{r}").cast("string"))), never) for r in RULES])
+    hits = held.join(maps, "stratum").groupBy("stratum", own.alias("step")).agg(F.count("*").alias("c"))
+    up = W.partitionBy("stratum").orderBy("step")
+    d = path.join(hits, ["stratum", "step"], "left").join(totals, "stratum").withColumn("k", F.sum(F.coalesce("c", F.lit(0))).over(up))
+    chance = F.when(F.col("k") <= F.col("n") * risk, binomial_below(F.col("k"), F.col("n"), risk)).otherwise(1.0)
+    # The chance does not fall along the sequence, as k does not: the steps that hold come before all that do not.
+    passed = d.where(chance <= error / tests)
+    spent = F.max(F.when(F.col("known"), F.col("k")).otherwise(0)).over(W.partitionBy("stratum"))
+    passed = passed.withColumn("_spent", spent).where("k <= _spent")
+    return passed.groupBy("stratum", "rule").agg(F.min("level").alias("cutoff"), F.first("n").alias("n"), F.first("_spent").alias("k"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, joint: bool = False) -> DataFrame:
+    """features() of docs (doc_id, text, lang) with kept; labels: doc_id, quality. joint: one verdict over all rules for each stratum."""
     rated = cut(features(docs))
-    limits = thresholds(rated, labels, risk, error).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
+    limits = (joint_thresholds if joint else thresholds)(rated, labels, risk, error).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
     d = rated.join(limits, "stratum", "left")
     hit = F.lit(False)
     for r in RULES:

@@ -438,6 +438,19 @@ def test_thresholds_reject_only_at_low_risk(spark):
     assert out.where("doc_id >= 10000 AND kept").count() == 0
 
 
+def test_small_strata_get_cutoffs(spark):
+    # 300 good labels suffice for one verdict at 2 % in two strata, 150 don't.
+    data, labels = [], []
+    for at, lang, n in ((0, "es", 300), (10_000, "fr", 150)):
+        data += [(at + i, f"plain words stand here in a row of ten or more indeed {i}", lang) for i in range(n)]
+        data += [(at + 1000 + i, f"# $ % & * | < > plain words stand here in a row {i}", lang) for i in range(40)]
+        data += [(at + 2000 + i, f"extraordinarily lengthened compositions notwithstanding incomprehensible characterisations everywhere throughout documentation {i}", lang) for i in range(40)]
+        labels += [(at + i, 1) for i in range(n)] + [(at + k + i, 0) for k in (1000, 2000) for i in range(20)]
+    d = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    out = {(r["stratum"], r["k"]): r["n"] for r in quality.judge(d, spark.createDataFrame(labels, "doc_id long, quality int"), joint=True).where("NOT base_failed").groupBy("stratum", F.when(F.col("doc_id") % 10_000 < 1000, "good").otherwise("poor").alias("kind"), "kept").agg(F.count("*").alias("n")).select("stratum", F.concat_ws(" ", "kind", F.col("kept").cast("string")).alias("k"), "n").collect()}
+    assert out == {("es", "good true"): 300, ("es", "poor false"): 80, ("fr", "good true"): 150, ("fr", "poor true"): 80}
+
+
 def brute_licenses(text):
     words = lambda x: re.findall(r"[^\W_]+", x.lower())
     grams = lambda w: set(zip(w, w[1:])) if len(w) > 1 else set(w)
