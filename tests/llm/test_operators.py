@@ -324,6 +324,26 @@ def test_model_gradients_and_windows():
     assert scored[:51] == [*range(50), lm.END]
 
 
+def test_what_the_model_is_fitted_on_grows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 0.5)
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, 40, n).astype(np.uint16) for n in [9_600, *[30] * 100, 0]]
+    d = spark.createDataFrame([(True, int(r.integers(-(2**62), 2**62)), x.tobytes()) for x in texts], "learnt boolean, k1 long, ids binary")
+    used = {}
+    monkeypatch.setattr(lm.ClassModel, "fit", lambda self, rows, steps: used.update(rows=rows, steps=steps) or self)
+    kept = lm.classes_of
+    monkeypatch.setattr(lm, "classes_of", lambda counts, seen, *a: used.update(counts=counts, seen=seen) or kept(counts, seen, *a))
+    lm.train(d, windows=16, steps=2)
+    # 401 windows of the long text, two of each short one and one of the empty one: half of them.
+    windows = lm.windows_of(texts)[0]
+    assert len(windows) == 602 and 240 < len(used["rows"]) < 360 and used["steps"] == round(2 * len(used["rows"]) / 16)
+    assert {x.tobytes() for x in used["rows"].astype(np.int32)} <= {x.tobytes() for x in windows.astype(np.int32)}
+    order = np.argsort(-used["counts"], kind="stable")
+    pairs = Counter(p for x in texts for p in zip(x.tolist(), [*x.tolist()[1:], lm.END]))
+    a, b = int(order[0]), int(order[1])
+    assert used["seen"][0, 1] == pairs[b, a] and used["seen"][0, lm.NEAR + 1] == pairs[a, b] and used["seen"].sum() == 2 * sum(pairs.values())
+
+
 @pytest.mark.parametrize("scale", [1, 40])
 def test_scoring_equals_the_trained_form(scale):
     r = np.random.default_rng(6)
