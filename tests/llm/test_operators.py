@@ -421,6 +421,14 @@ def test_pivots_rule_candidates_out():
     assert seen < 5 * len(v) / 2
 
 
+def test_dense_blocks_count_all_pairs():
+    r = np.random.default_rng(6)
+    v = r.integers(-60, 61, (1500, 32))
+    ids = np.arange(len(v))
+    *_, seen = topk.best(ids[:7], v[:7], ids, v, v[r.integers(0, len(v), 30)])
+    assert seen == 7 * len(v)
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if x.strip(SPACES)]
