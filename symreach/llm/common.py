@@ -19,10 +19,12 @@ RANGE_BITS = 12
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the session names; a folder of our own where it names none."""
+    """A new path in the shared folder that the session names; a folder of our own where it names none and all runs in one process."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="symreach-"))
         where = sc.getCheckpointDir()
     return f"{where.rstrip('/')}/symreach-{uuid.uuid4().hex}"
@@ -66,6 +68,29 @@ def two_level(df: DataFrame, group: str, part: Column, order: list[Column], valu
     return d.join(sums, [group, "_part"]).withColumn("pos", F.col("_n0") + F.col("_i")).withColumn("before", F.col("_sum0") + F.col("_run")).drop("_part", "_value", "_i", "_run", "_n0", "_sum0")
 
 
+def half_range(key: Column, n: Column) -> Column:
+    """The range of a 64-bit key among about sqrt(n) ranges, ascending with it: with it two_level() holds about sqrt(n) rows of a group of n in any window."""
+    bits = F.greatest(F.lit(1), F.least(F.lit(24), F.ceil(F.log2(F.greatest(n, F.lit(2))) / 2))).cast("int")
+    return F.call_function("shiftright", key, F.lit(64) - bits)
+
+
+def running(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """df with i, its rows' places in that order, and before_<name>, each value's sum over the rows ahead.
+
+    One distributed sort: a row knows its partition of the sort and its place there, so windows hold a partition each
+    and one more runs over the partitions' sums; no task holds all rows. order must tell all rows apart."""
+    d = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    for name, v in values.items():
+        d = d.withColumn(f"_v_{name}", v)
+    d = cut(d).withColumn("_pid", F.shiftright("_mid", 33))
+    sums = d.groupBy("_pid").agg(F.count("*").alias("_n"), *[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in values]).withColumn("_k", F.lit(0))
+    ahead = W.partitionBy("_k").orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_pid", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_n0"), *[F.coalesce(F.sum(f"_s_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in values])
+    own = W.partitionBy("_pid").orderBy("_mid").rowsBetween(W.unboundedPreceding, -1)
+    d = d.select("*", *[F.coalesce(F.sum(f"_v_{k}").over(own), F.lit(0)).alias(f"_o_{k}") for k in values]).join(sums, "_pid")
+    return d.select(*df.columns, (F.col("_n0") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).alias("i"), *[(F.col(f"_b_{k}") + F.col(f"_o_{k}")).alias(f"before_{k}") for k in values])
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of links (a, b): root is the smallest node reachable.
 

@@ -1,22 +1,31 @@
 """Balanced label propagation into shards under capacity quotas (DataFrame functions only).
 
-Law `rows`: shard sizes in documents differ by one at most. Linked documents (equal texts) make a group. Documents
-start in the order of their groups' hashes, cut into equal runs, so that few groups are cut. Then rounds
-of propagation: a group's members in lesser shards ask to move to the shard that holds most of the
-group; a shard admits as many as it has documents without links to give away, in order of the gain, and gives those to the shards
-that lost members. Only shard totals (a row for each shard) reach the driver.
+Law `rows`: shard sizes in documents differ by one at most. Linked documents (equal texts) form a group; a group of more documents
+than a shard holds is cut into units of a shard's size, any other group is one unit. A cut edge is a pair of documents of one unit
+in different shards.
 
-Null text: size 16, one group with other null texts. Repeated rows: each is placed. Null doc_id: placed. Other columns
-are ignored."""
+Start: the linked documents, in the order of a hash of their ids that knows nothing of groups, are dealt to the shards in equal
+runs, so nearly every unit is cut. Rounds of propagation, each a few joins over one row for each (unit, shard): a unit's parts ask to move to the shard that holds
+most of it (ties by a hash that changes with the round) or, where none of its shards has room, in every second round to one
+that has. For each pair of shards the driver admits as many documents as keep every shard within its quota (a matrix of shards x
+shards; inflow may exceed outflow by the room left for documents without links), the largest parts
+first. Rounds end when no unit is cut or ROUNDS have run. Documents without links have no edges and fill what is left.
+
+Null text: size 16, one group with other null texts. Repeated rows: each is placed. Null doc_id: placed. Ties of the hash go by doc_id and
+group. Very long texts: only their hashes and lengths go on. Fewer documents than shards: the first shards get one each. Empty tables: no rows. Other columns, of
+any name, are ignored."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import cut, key_range, two_level
+from .common import cut, half_range, key_range, two_level
 
-SHARDS, OVERHEAD, ROUNDS, SEED = 40, 16, 3, 8
+SHARDS, OVERHEAD, ROUNDS, SEED = 40, 16, 8, 8
+#: Documents of a unit that meet its placement in one task.
+CHUNK = 256
 
 
 def _grouped(docs: DataFrame, seed: int) -> DataFrame:
@@ -33,80 +42,141 @@ def _grouped(docs: DataFrame, seed: int) -> DataFrame:
     return d.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "g2"))
 
 
-def _start(d: DataFrame, shards: int) -> DataFrame:
-    """Adds n (the group's documents) and shard: equal runs of the documents in group order."""
-    groups = d.groupBy("g1", "g2").agg(F.count("*").alias("n")).withColumn("_all", F.lit(0))
-    groups = two_level(groups, "_all", key_range(F.col("g1")), [F.col("g1"), F.col("g2")], F.col("n"))
-    groups = cut(groups.select("g1", "g2", "n", F.col("before").alias("first")))
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    d = d.join(groups, ["g1", "g2"]).withColumn("g", F.struct("g1", "g2"))
-    # Of groups with one document the place is known; the others are ranked in parts.
-    alone = d.where("n = 1").withColumn("pos", F.lit(0).cast("long")).drop("g")
-    alike = two_level(d.where("n > 1"), "g", key_range(F.col("key")), [F.col("key"), F.col("doc_id")], F.lit(1)).drop("g", "before")
-    d = alone.unionByName(alike).withColumn("at", F.col("first") + F.col("pos"))
-    # Runs of total // shards documents, the first total % shards of them one longer.
+def _start(linked: DataFrame, total: int, shards: int) -> DataFrame:
+    """g1, g2, unit, shard, n: how many documents of each unit the start deals to each shard. linked: rows of groups with more than one."""
+    d = two_level(linked.withColumn("_all", F.lit(0)), "_all", key_range(F.col("key")), [F.col("key"), F.col("doc_id"), F.col("g1")], F.lit(1))
     q, r = divmod(total, shards)
     edge = r * (q + 1)
-    shard = F.when(F.col("at") < edge, F.floor(F.col("at") / (q + 1))).otherwise(r + F.floor((F.col("at") - edge) / max(q, 1)))
-    return d.withColumn("shard", shard.cast("int")).drop("first", "pos", "at")
-
-
-def _round(d: DataFrame, shards: int) -> DataFrame | None:
-    """d after one round; None if no document moves."""
-    linked = d.where("n > 1")
-    held = linked.groupBy("g1", "g2", "shard").agg(F.count("*").alias("held"))
-    free = {r["shard"]: r["n"] for r in d.where("n = 1").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    roomy = held.where(F.col("shard").isin([s for s, n in free.items() if n > 0]))
-    best = roomy.groupBy("g1", "g2").agg(F.max(F.struct("held", (-F.col("shard")).alias("back"))).alias("best")).select("g1", "g2", F.col("best.held").alias("most"), (-F.col("best.back")).cast("int").alias("goal"))
-    cut_ = held.groupBy("g1", "g2").agg(F.count("*").alias("parts")).where("parts > 1").select("g1", "g2")
-    movers = held.join(cut_, ["g1", "g2"]).join(best, ["g1", "g2"]).where("shard <> goal AND (held < most OR held = most AND shard > goal)")
-    moving = linked.join(movers.select("g1", "g2", "shard", "goal", "most"), ["g1", "g2", "shard"])
-    # Larger parts attract first: the key falls with the gain.
-    ranked = cut(two_level(moving, "goal", F.floor(F.log2("most")).cast("int") * -16 + F.pmod("key", F.lit(16)), [F.col("g1"), F.col("g2"), F.col("key"), F.col("doc_id")], F.lit(1)))
-    quota = F.create_map(*[x for s, n in free.items() for x in (F.lit(s), F.lit(n))])
-    admitted = ranked.where(F.col("pos") < F.element_at(quota, F.col("goal")))
-    into = {r["goal"]: r["n"] for r in admitted.groupBy("goal").agg(F.count("*").alias("n")).collect()}
-    if not into:
+    shard = F.when(F.col("pos") < edge, F.floor(F.col("pos") / (q + 1))).otherwise(r + F.floor((F.col("pos") - edge) / max(q, 1)))
+    return d.withColumn("shard", shard.cast("int")).groupBy("g1", "g2", "unit", "shard").agg(F.count("*").alias("n"))
+
+
+def admitted(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the wanted moves (from, to) may go so that no shard gains more than its room; moves that swap need no room."""
+    flow = dict(wanted)
+    shards = range(len(room))
+    for _ in range(10_000):
+        gain = [sum(n for (_, b), n in flow.items() if b == s) - sum(n for (a, _), n in flow.items() if a == s) for s in shards]
+        over = [s for s in shards if gain[s] > room[s]]
+        if not over:
+            return {k: n for k, n in flow.items() if n}
+        for s in over:
+            excess = gain[s] - room[s]
+            # Taken from the largest streams first, and from those that free no other shard that is full.
+            for k in sorted((k for k in flow if k[1] == s and flow[k]), key=lambda k: (gain[k[0]] >= room[k[0]], -flow[k], k)):
+                less = min(excess, flow[k])
+                flow[k] -= less
+                excess -= less
+                if not excess:
+                    break
+    return {}
+
+
+def cut_pairs(parts: DataFrame) -> int:
+    """Pairs of documents of one unit that lie in different shards. parts: g1, g2, unit, shard, n."""
+    per = parts.groupBy("g1", "g2", "unit").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()[0])
+
+
+def _yields(parts: DataFrame, unmet: dict[tuple[int, int], int], shards: int, seed: int) -> DataFrame:
+    """g1, g2, unit, shard, goal, n: units that lie whole in a shard which others could not enter, and change places with those."""
+    unit = ["g1", "g2", "unit"]
+    whole = parts.groupBy(*unit).agg(F.count("*").alias("parts"), F.first("shard").alias("shard"), F.sum("n").alias("n")).where("parts = 1")
+    at, ends = {s: 0 for _, s in unmet}, []
+    for (a, s), n in sorted(unmet.items(), key=lambda x: (x[0][1], -x[1], x[0])):
+        ends.append((s, F.struct(F.lit(at[s]).alias("low"), F.lit(at[s] + n).alias("high"), F.lit(a).alias("goal"))))
+        at[s] += n
+    per = F.create_map(*[x for s in at for x in (F.lit(s), F.array(*[e for t, e in ends if t == s]))])
+    ranked = two_level(whole.where(F.col("shard").isin(list(at))), "shard", F.floor(F.log2("n")).cast("int") * 256 + F.pmod(F.xxhash64(F.lit(seed), *unit), F.lit(256)), [F.col(c) for c in unit], F.col("n"))
+    fits = F.filter(F.try_element_at(per, F.col("shard")), lambda e: (e["low"] <= F.col("before")) & (F.col("before") + F.col("n") <= e["high"]))
+    return ranked.withColumn("goal", F.get(fits, F.lit(0))["goal"]).where("goal IS NOT NULL").select(*unit, "shard", "goal", "n")
+
+
+def _round(parts: DataFrame, holds: list[int], turn: int, seed: int) -> DataFrame | None:
+    """parts after one round; None if nothing can move. holds: how many documents each shard may hold."""
+    unit = ["g1", "g2", "unit"]
+    shards = len(holds)
+    now = {r["shard"]: r["n"] for r in parts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    room = [holds[s] - now.get(s, 0) for s in range(shards)]
+    open_ = [s for s in range(shards) if room[s] > 0]
+    luck = F.xxhash64(F.lit(seed + turn), *unit, "shard")
+    has_room = F.col("shard").isin(open_) if open_ else F.lit(False)
+    per = parts.groupBy(*unit).agg(F.count("*").alias("parts"), F.max(has_room).alias("roomy"), F.max(F.struct("n", luck.alias("luck"), "shard")).alias("best"), F.max("n").alias("most")).where("parts > 1")
+    goal = F.col("best.shard")
+    if open_ and turn % 2:
+        elsewhere = F.element_at(F.array(*map(F.lit, open_)), (F.pmod(F.xxhash64(F.lit(seed + turn), *unit), F.lit(len(open_))) + 1).cast("int"))
+        goal = F.when(F.col("roomy"), goal).otherwise(elsewhere)
+    goals = per.select(*unit, goal.cast("int").alias("goal"), "most")
+    asks = cut(parts.join(goals, unit).where("shard <> goal"))
+    wanted = {(r["shard"], r["goal"]): r["n"] for r in asks.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()}
+    flow = admitted(wanted, room)
+    unmet = {k: n - flow.get(k, 0) for k, n in wanted.items() if n > flow.get(k, 0)}
+    yields = cut(_yields(parts, unmet, shards, seed)) if unmet else None
+    if yields is not None:
+        for r in yields.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect():
+            flow[r["goal"], r["shard"]] = flow.get((r["goal"], r["shard"]), 0) + r["n"]
+    if not flow:
         return None
-    out_of = {r["shard"]: r["n"] for r in admitted.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    moved = admitted.select(*[c for c in d.columns if c != "shard"], F.col("goal").alias("shard"))
-    stays = ranked.where(F.col("pos") >= F.element_at(quota, F.col("goal"))).select(*d.columns)
-    rest = linked.join(movers.select("g1", "g2", "shard"), ["g1", "g2", "shard"], "left_anti").select(*d.columns)
-    # Each shard gives away as many free documents as it gained, to the shards that lost.
-    gain = {s: into.get(s, 0) - out_of.get(s, 0) for s in range(shards)}
-    single = two_level(d.where("n = 1"), "shard", key_range(F.col("key")), [F.col("key"), F.col("doc_id")], F.lit(1))
-    holes, ends, gone, at = [], 0, [], 0
+    # Within a stream from shard to shard, parts of units with a larger core go first.
+    asks = asks.withColumn("stream", F.col("shard") * shards + F.col("goal"))
+    ranked = two_level(asks, "stream", F.floor(F.log2("most")).cast("int") * -256 + F.pmod(F.xxhash64(*unit), F.lit(256)), [F.col(c) for c in unit], F.col("n"))
+    quota = F.create_map(*[x for (a, b), n in flow.items() for x in (F.lit(a * shards + b), F.lit(n))])
+    goes = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce(F.try_element_at(quota, F.col("stream")), F.lit(0)) - F.col("before")))
+    moved = ranked.withColumn("goes", goes.cast("long")).where("goes > 0")
+    moved = moved.select(*unit, "shard", "goal", F.col("goes").alias("n"))
+    if yields is not None:
+        moved = moved.unionByName(yields.select(*moved.columns))
+    change = moved.select(*unit, F.col("goal").alias("shard"), "n").unionByName(moved.select(*unit, "shard", (-F.col("n")).alias("n")))
+    return cut(parts.unionByName(change).groupBy(*unit, "shard").agg(F.sum("n").alias("n")).where("n > 0"))
+
+
+def propagate(parts: DataFrame, holds: list[int], rounds: int = ROUNDS, seed: int = SEED) -> tuple[DataFrame, list[int]]:
+    """The parts with the fewest cut pairs that the rounds gave, and the cut pairs before the first and after each."""
+    history, best = [cut_pairs(parts)], parts
+    for turn in range(rounds):
+        if not history[-1] or (after := _round(parts, holds, turn, seed)) is None:
+            break
+        parts = after
+        history.append(cut_pairs(parts))
+        if history[-1] < min(history[:-1]):
+            best = parts
+    return best, history
+
+
+def placed(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[DataFrame, list[int]]:
+    """(shard()'s rows, the cut pairs before the first round and after each)."""
+    d = cut(_grouped(docs, seed))
+    groups = cut(d.groupBy("g1", "g2").agg(F.count("*").alias("all")))
+    total, most = groups.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.max("all"), F.lit(0))).first()
+    q, r = divmod(total, shards)
+    holds = [q + (s < r) for s in range(shards)]
+    whole = max(q, 1)
+    unit = ["g1", "g2", "unit"]
+    # Rows of large groups are dealt over several keys; rows of one group are ranked in about sqrt(n) parts.
+    d = d.join(groups, ["g1", "g2"]) if most < CHUNK else d.withColumn("_salt", F.pmod("key", F.lit(64)).cast("int")).join(groups.withColumn("_salt", F.explode(F.when(F.col("all") < CHUNK, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(63))))).select("g1", "g2", "all", "_salt").withColumnRenamed("_salt", "_own"), ["g1", "g2"]).where("_own = -1 OR _own = _salt").drop("_own", "_salt")
+    linked = d.where("all > 1").withColumn("g", F.struct("g1", "g2"))
+    linked = two_level(linked, "g", half_range(F.col("key"), F.col("all")), [F.col("key"), F.col("doc_id")], F.lit(1)).drop("g", "before")
+    linked = cut(linked.withColumn("unit", F.floor(F.col("pos") / whole)).withColumn("at", F.col("pos") % whole).drop("pos"))
+    parts, history = propagate(cut(_start(linked, linked.count(), shards)), holds, rounds, seed)
+    # A unit's parts in order; each takes as many of its documents as it has.
+    ahead = W.partitionBy(*unit).orderBy(F.desc("n"), "shard").rowsBetween(W.unboundedPreceding, 0)
+    spans = parts.withColumn("end", F.sum("n").over(ahead)).select(*unit, "shard", (F.col("end") - F.col("n")).alias("low"), F.col("end").alias("high"))
+    spans = spans.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("low") / CHUNK), F.floor((F.col("high") - 1) / CHUNK))))
+    linked = linked.withColumn("chunk", F.floor(F.col("at") / CHUNK)).join(spans, [*unit, "chunk"]).where("low <= at AND at < high")
+    columns = ["doc_id", "size", "text_crc32", "key", "g1", "shard"]
+    # Documents without links, in the order of their keys, fill the shards.
+    now = {x["shard"]: x["n"] for x in parts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    ends, end = [], 0
     for s in range(shards):
-        if gain[s] < 0:
-            ends -= gain[s]
-            holes.append((s, ends))
-        if gain[s] > 0:
-            gone.append((s, gain[s], at))
-            at += gain[s]
-    goal = F.col("shard")
-    if gone:
-        own = F.create_map(*[x for s, n, a in gone for x in (F.lit(s), F.struct(F.lit(n).alias("n"), F.lit(a).alias("a")))])
-        mine = F.element_at(own, F.col("shard"))
-        index = mine["a"] + F.col("pos")
-        to = F.coalesce(*[F.when(index < e, F.lit(s)) for s, e in holes])
-        goal = F.when(mine.isNotNull() & (F.col("pos") < mine["n"]), to).otherwise(F.col("shard"))
-    single = single.withColumn("_goal", goal.cast("int")).select(*[c for c in d.columns if c != "shard"], F.col("_goal").alias("shard"))
-    return cut(moved.unionByName(stays).unionByName(rest).unionByName(single))
+        end += holds[s] - now.get(s, 0)
+        ends.append(end)
+    single = two_level(d.where("all = 1").withColumn("_all", F.lit(0)), "_all", key_range(F.col("key")), [F.col("key"), F.col("doc_id")], F.lit(1))
+    single = single.withColumn("shard", F.coalesce(*[F.when(F.col("pos") < e, F.lit(s)) for s, e in enumerate(ends)]))
+    out = linked.select(*columns).unionByName(single.select(*columns))
+    out = two_level(out, "shard", half_range(F.col("key"), F.lit(whole)), [F.col("key"), F.col("doc_id"), F.col("g1")], F.lit(1))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("pos").alias("slot"), F.lit(None).cast("int").alias("grown_shard")), history
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, text_crc32, law, shard and slot (gapless from 0 in the shard) of each row of docs (doc_id, text)."""
-    d = cut(_start(_grouped(docs, seed), shards))
-    for _ in range(rounds):
-        after = _round(d, shards)
-        if after is None:
-            break
-        d = after
-    d = two_level(d, "shard", key_range(F.col("key")), [F.col("key"), F.col("doc_id"), F.col("g1")], F.lit(1))
-    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("pos").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def cut_edges(placed: DataFrame) -> DataFrame:
-    """groups, and parts: (group, shard) pairs; equal numbers mean that no group is cut. placed: g, shard."""
-    parts = placed.groupBy("g", "shard").agg(F.count("*").alias("n"))
-    return parts.groupBy("g").agg(F.count("*").alias("parts")).agg(F.count("*").alias("groups"), F.sum("parts").alias("parts"))
+    return placed(docs, shards, rounds, seed)[0]
