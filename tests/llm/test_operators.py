@@ -381,22 +381,46 @@ def test_model_gradients_and_windows():
 
 def test_what_the_model_is_fitted_on_grows(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARE", 0.5)
+    monkeypatch.setattr(lm, "TRAINER_WINDOWS", 100)
     r = np.random.default_rng(8)
     texts = [r.integers(0, 40, n).astype(np.uint16) for n in [9_600, *[30] * 100, 0]]
     d = spark.createDataFrame([(True, int(r.integers(-(2**62), 2**62)), x.tobytes()) for x in texts], "learnt boolean, k1 long, ids binary")
     used = {}
-    monkeypatch.setattr(lm.ClassModel, "fit", lambda self, rows, steps: used.update(rows=rows, steps=steps) or self)
-    kept = lm.classes_of
-    monkeypatch.setattr(lm, "classes_of", lambda counts, seen, *a: used.update(counts=counts, seen=seen) or kept(counts, seen, *a))
-    lm.train(d, windows=16, steps=2)
-    # 401 windows of the long text, two of each short one and one of the empty one: half of them.
+    kept, fit = lm.ClassModel.__init__, lm.ClassModel.fit
+    monkeypatch.setattr(lm.ClassModel, "__init__", lambda self, counts, pairs: used.update(counts=counts, pairs=pairs) or kept(self, counts, pairs))
+    monkeypatch.setattr(lm.ClassModel, "fit", lambda self, rows, *a: used.update(rows=rows) or fit(self, rows, 2) and used.update(first=self.packed()) or self)
+    model = lm.train(d, windows=16, steps=2)
+    # 401 windows of the long text, two of each short one and one of the empty one.
     windows = lm.windows_of(texts)[0]
-    assert len(windows) == 602 and 240 < len(used["rows"]) < 360 and used["steps"] == round(2 * len(used["rows"]) / 16)
+    assert len(windows) == 602 and 4 < len(used["rows"]) < 40
     assert {x.tobytes() for x in used["rows"].astype(np.int32)} <= {x.tobytes() for x in windows.astype(np.int32)}
     order = np.argsort(-used["counts"], kind="stable")
-    pairs = Counter(p for x in texts for p in zip(x.tolist(), [*x.tolist()[1:], lm.END]))
+    pairs = Counter(p for x in texts for p in zip([lm.START, *x.tolist()], [*x.tolist(), lm.END]))
     a, b = int(order[0]), int(order[1])
-    assert used["seen"][0, 1] == pairs[b, a] and used["seen"][0, lm.NEAR + 1] == pairs[a, b] and used["seen"].sum() == 2 * sum(pairs.values())
+    assert used["pairs"][0, 1] == pairs[a, b] and used["pairs"][1, 0] == pairs[b, a] and used["pairs"].sum() == sum(pairs.values())
+    # Three trainers (half of 602 windows, 100 each) went on from the first fit.
+    assert model.packed() != used["first"] and np.abs(np.frombuffer(model.packed(), np.float32) - np.frombuffer(used["first"], np.float32)).max() < 0.1
+
+
+def test_a_trained_model_beats_the_word_counts(spark):
+    r = np.random.default_rng(12)
+    words = ["water", "house", "stone", "river", "light", "paper", "money", "music", "night", "world", "story", "table", "green", "white", "black", "young", "small", "large", "early", "often"]
+    # Each word is followed by one of three.
+    after = {w: r.choice(words, 3).tolist() for w in words}
+    texts = []
+    for i in range(600):
+        w = [str(r.choice(words))]
+        while len(w) < 40:
+            w.append(after[w[-1]][int(r.integers(3))])
+        texts.append((i, " ".join(w)))
+    out = lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string"), TOKENIZER, steps=300).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert out["score"] > out["base"] + 0.05 * out["n"]
+
+
+def test_case_does_not_matter_to_scores(spark):
+    d = spark.createDataFrame([(i, t) for i in range(40) for t in ("The Water OVER stone", "the water over stone")], "doc_id long, text string")
+    out = lm.lm_scores(d, TOKENIZER, steps=5).collect()
+    assert len(out) == 80 and len({round(r["score"], 4) for r in out}) == 1 and len({r["n_tokens"] for r in out}) == 1
 
 
 @pytest.mark.parametrize("scale", [1, 40])
@@ -405,12 +429,13 @@ def test_scoring_equals_the_trained_form(scale):
     m = lm.ClassModel(r.integers(0, 50, lm.IDS + 1))
     for k in ("Q", "K", "W"):
         m.p[k] *= scale
-    w, _ = lm.windows_of([r.integers(0, 3000, 200)])
+    w, _ = lm.windows_of([r.integers(0, 5000, 200)])
     goal = w[:, lm.CONTEXT + 1 :]
     logits = m.forward(m.input_of[w[:, :-1]])[0].astype(float)
-    at = m.class_of[goal.ravel()]
+    own, last = m.rank[goal.ravel()], np.minimum(m.input_of[w[:, lm.CONTEXT : -1]], m.frequent).ravel()
+    at = m.class_of[own]
     top = logits.max(axis=1)
-    want = logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1)) + m.within[goal.ravel()]
+    want = logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1)) + m.after[last, own] + m.within[goal.ravel()]
     assert np.abs(m.log_probabilities(m.input_of[w[:, :-1]], goal).ravel() - want).max() < 2e-2 * scale
 
 
