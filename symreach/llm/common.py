@@ -37,6 +37,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_row(docs: DataFrame, *left_out: str) -> Column:
+    """All columns of docs but those left out as one struct, so that no name of theirs can clash with one in use."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in left_out] or [F.lit(True).alias("none")]).alias("row")
+
+
+def unwrapped(names: list[str], **put: Column) -> list[Column]:
+    """The columns of a whole_row() again, those of `put` from elsewhere."""
+    return [put[c].alias(c) if c in put else F.col(f"row.`{c}`") for c in names]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what scratch() named."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `rows` rows, so that what Python makes of a slice's values stays small."""
     for batch in batches:

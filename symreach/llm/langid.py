@@ -9,7 +9,7 @@ language name that sorts first.
 
 Trigrams are taken over lower-cased letters; a run of other characters counts as one space. Null text, empty text and text
 without a letter: `und`, score 0. Repeated rows: each is predicted (and counted in training). Null lang: not learnt. Null doc_id: never held
-out. No learnt language: `und`. Other columns are ignored by predict()."""
+out. No learnt language: `und`. Very long texts: all their trigrams count. Empty tables: no rows. Other columns, of any name, are ignored by identify() and kept by keep_identified()."""
 
 from __future__ import annotations
 
@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import cut, small
+from .common import cut, small, unwrapped, whole_row
 from .shingles import mix, text_slices
 
 SLOTS, HASHES, LEAST, CONTRAST = 1 << 19, 3, 2e-6, 0.35
 MOST_LANGUAGES = 1024
+#: Distinct trigrams that a task counts before it passes them on.
+HELD = 1 << 20
 #: Clean texts score above 0.8; a text with less than this share of known trigrams is in no language learnt.
 LEAST_SCORE = 0.4
 _U = np.uint64
@@ -71,9 +74,14 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, gram, n), summed over the task."""
+    """(lang, text) to (lang, gram, n), summed over the task as far as HELD trigrams go."""
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
+    def out() -> Iterator[pa.RecordBatch]:
+        for lang, (grams, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        total.clear()
+
     def add(lang: str, grams: np.ndarray, n: np.ndarray) -> None:
         if lang in total:
             grams, n = np.concatenate((total[lang][0], grams)), np.concatenate((total[lang][1], n))
@@ -88,8 +96,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang in set(langs[a:b]):
                 own, n = np.unique(grams[np.repeat(langs[a:b] == lang, per)], return_counts=True)
                 add(lang, own, n)
-    for lang, (grams, n) in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            if sum(len(x) for x, _ in total.values()) > HELD:
+                yield from out()
+    yield from out()
 
 
 def slots_of(grams: np.ndarray, slots: int = SLOTS, hashes: int = HASHES) -> np.ndarray:
@@ -161,13 +170,13 @@ def train(rows: DataFrame, least: float = LEAST, contrast: float = CONTRAST, slo
     return filters.done()
 
 
-def _predict(shared):
+def _predict(shared, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, text) to (row, lang, score), with the text if that is asked for."""
         f: Filters = shared.value
         for batch in small(batches, 2000):
             lang, score = [], []
-            texts = batch.column(batch.schema.names.index("_text"))
-            for _, _, data, offsets in text_slices(texts):
+            for _, _, data, offsets in text_slices(batch.column(1)):
                 grams, bounds = trigrams(data, offsets)
                 n = np.diff(bounds)
                 if not f.languages:
@@ -179,18 +188,18 @@ def _predict(shared):
                 top = shares[np.arange(len(n)), best]
                 lang += [f.languages[b] if k else "und" for b, k in zip(best, n)]
                 score += np.where(n > 0, np.clip(top, 0, 1), 0).tolist()
-            rest = [i for i, x in enumerate(batch.schema.names) if x != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(batch.schema.names[i] for i in rest), "_lang", "_score"])
+            own = [0, 1] if keep_text else [0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*("row", "text")[: len(own)], "lang", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, filters: Filters, keep_text: bool = False) -> DataFrame:
-    """docs, without text unless that is asked for, with _lang and _score."""
+    """row (a struct of the columns of docs but text), text if that is asked for, lang and score."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rest = docs if keep_text else docs.drop("text")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields)
-    return docs.select(*[F.col(f"`{c}`") for c in rest.columns], F.col("text").cast("string").alias("_text")).mapInArrow(_predict(shared), f"{fields}_lang string, _score double")
+    rows = docs.select(whole_row(docs, "text"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], *([rows.schema["text"]] if keep_text else []), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(shared, keep_text), schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -207,10 +216,11 @@ def identify(docs: DataFrame) -> DataFrame:
     held = fold(F.col("doc_id"), 3) == 1
     filters = train(docs.where(~held))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
-    return predict(rows, filters).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+    return predict(rows, filters).select("row.doc_id", "row.held_out", F.col("lang").alias("lang_pred"), "score")
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of docs whose language is recognised with a score of at least `least`."""
     filters = train(docs.where(fold(F.col("doc_id"), 3) != 1))
-    return predict(docs, filters, keep_text=True).where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    known = predict(docs, filters, keep_text=True).where((F.col("lang") != "und") & (F.col("score") >= least))
+    return known.select(*unwrapped(docs.columns, text=F.col("text").cast(docs.schema["text"].dataType)))

@@ -11,7 +11,8 @@ at least MIN_CHARS code points count. Keys are compared by 128 bits of a hash.
 
 Null or empty text: one empty line, kept. Repeated rows: each is a row of its own; they hold a key
 as one document (by doc_id), and each keeps the lines of which that doc_id is the keeper. Null doc_id: counts as one document below
-all others. Other columns are ignored by line_report() and kept by dedup_lines()."""
+all others. Ties do not arise: a key has one largest doc_id. Very long texts and lines: whole. Empty tables: no rows. Other columns, of any name, are ignored by
+line_report() and kept by dedup_lines()."""
 
 from __future__ import annotations
 
@@ -22,8 +23,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE_CHARS, cut, scratch, small
+from .common import SPACE_CHARS, cut, discard, scratch, small, unwrapped, whole_row
 
 MIN_CHARS, MIN_DOCS, BATCHES, FAN = 40, 5, 4, 2
 KEY = "h1 long, h2 long"
@@ -44,17 +46,25 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> tuple[int, int] | None:
 def _keys(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            ids, a, b = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, marks, a, b = [], [], [], []
+            for i, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 for key in {line_key(x, min_chars) for x in (text or "").split("\n")} - {None}:
                     ids.append(i)
+                    marks.append(mark)
                     a.append(key[0])
                     b.append(key[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, marks, a, b)], ["doc_id", "mark", "h1", "h2"])
 
     return run
 
 
+def _named(docs: DataFrame) -> list:
+    """doc_id, NO_ID for null, and mark: a hash of the text where doc_id is null, so that such rows, one document all, are still told apart; else 0."""
+    own = F.col("doc_id").cast("long")
+    text = F.col("text").cast("string")
+    return [F.coalesce(own, F.lit(NO_ID)).alias("doc_id"), F.when(own.isNull(), F.xxhash64(text)).otherwise(0).alias("mark")]
+
+
 class LineRuns:
     """Levelled sorted runs of (h1, h2, n, keeper): documents that hold the key, and the largest of them.
 
@@ -64,11 +74,23 @@ class LineRuns:
         self.spark, self.fan = spark, fan
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        discard(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drops all runs, from the catalogue and the shared folder; nothing that reads them may run after it."""
+        for level in self.levels:
+            for name in level:
+                self._drop(name)
+        self.levels = []
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = rows.repartition(self.buckets, "h1")
-        rows.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", scratch(self.spark)).saveAsTable(name)
+        rows.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", self.paths.setdefault(name, scratch(self.spark))).saveAsTable(name)
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
@@ -95,10 +117,10 @@ class LineRuns:
         return batch
 
     def add(self, batch: DataFrame) -> None:
-        """Adds rows (h1, h2, doc_id), distinct, all of whose doc_id are below those added before.
+        """Adds rows (h1, h2, doc_id, mark), distinct, all of whose doc_id are below those added before.
 
         A key that the runs hold has its keeper; the batch's run then adds to its count alone."""
-        own = batch.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+        own = batch.groupBy("h1", "h2").agg((F.count_if(F.col("doc_id") != NO_ID) + F.max((F.col("doc_id") == NO_ID).cast("long"))).alias("n"), F.max("doc_id").alias("top"))
         if self.levels:
             new = self.fresh(own).select("h1", "h2", F.lit(True).alias("new"))
             own = own.join(new, ["h1", "h2"], "left").select("h1", "h2", "n", F.when(F.col("new"), F.col("top")).alias("keeper"))
@@ -113,7 +135,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fan:
             merged = self._write(self._merged(self.levels[level]))
             for x in self.levels[level]:
-                self.spark.sql(f"DROP TABLE {x}")
+                self._drop(x)
             self.levels[level] = []
             self._push(level + 1, merged)
 
@@ -121,7 +143,7 @@ class LineRuns:
 def fill(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fan: int = FAN) -> LineRuns:
     """Runs of all lines of docs (doc_id, text), added in descending ranges of doc_id."""
     spark = docs.sparkSession
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string")).mapInArrow(_keys(min_chars), f"doc_id long, {KEY}")
+    keys = docs.select(*_named(docs), F.col("text").cast("string").alias("text")).mapInArrow(_keys(min_chars), f"doc_id long, mark long, {KEY}")
     keys = cut(keys.distinct())
     runs = LineRuns(spark, fan)
     cuts = sorted(set(keys.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
@@ -138,10 +160,10 @@ def fill(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS, fa
 
 def _drop(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, text, lost) to (row, n_lines, n_dropped, kept)."""
         for batch in small(batches):
-            texts, lost = batch.column("_text").to_pylist(), batch.column("_lost").to_pylist()
             kept, n, n_dropped = [], [], []
-            for text, gone in zip(texts, lost):
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 lines = (text or "").split("\n")
                 n.append(len(lines))
                 if gone:
@@ -149,33 +171,31 @@ def _drop(min_chars: int):
                     lines = [x for x in lines if line_key(x, min_chars) not in gone]
                 n_dropped.append(n[-1] - len(lines))
                 kept.append("\n".join(lines))
-            at = [i for i, name in enumerate(batch.schema.names) if name not in ("_text", "_lost")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in at), pa.array(n, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())],
-                [*(batch.schema.names[i] for i in at), "_n_lines", "_n_dropped", "_kept"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_dropped", "kept"])
 
     return run
 
 
-def _decided(docs: DataFrame, min_docs: int, min_chars: int, batches: int, extra: list[str]) -> DataFrame:
-    """Columns extra of docs, then _n_lines, _n_dropped and _kept (text)."""
+def _decided(docs: DataFrame, min_docs: int, min_chars: int, batches: int, *left_out: str) -> DataFrame:
+    """row (a struct of the columns of docs but those left out), n_lines, n_dropped and kept (text)."""
     runs = fill(docs.select("doc_id", "text"), batches, min_chars)
     frequent = runs.merged().where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    lost = runs.keys.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list(F.struct("h1", "h2")).alias("_lost"))
-    rows = docs.select(*extra, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_doc"), F.col("text").cast("string").alias("_text"))
-    rows = rows.join(lost, F.col("_doc") == F.col("_key"), "left").select(*extra, "_text", "_lost")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields)
-    return rows.mapInArrow(_drop(min_chars), f"{fields}, _n_lines long, _n_dropped long, _kept string")
+    # Written, as the runs go now. A document's list is bounded by its own lines.
+    lost = cut(runs.keys.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias("own"), F.col("mark").alias("own_mark")).agg(F.collect_list(F.struct("h1", "h2")).alias("lost")))
+    runs.close()
+    rows = docs.select(whole_row(docs, *left_out), *_named(docs), F.col("text").cast("string").alias("text"))
+    rows = rows.join(lost, (F.col("doc_id") == F.col("own")) & (F.col("mark") == F.col("own_mark")), "left").select("row", "text", "lost")
+    schema = T.StructType([rows.schema["row"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
+    return rows.mapInArrow(_drop(min_chars), schema)
 
 
 def line_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_lines (before), n_dropped and the kept text of each row of docs."""
-    out = _decided(docs, min_docs, min_chars, batches, ["doc_id"])
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept").alias("kept_text"))
+    out = _decided(docs.select("doc_id", "text"), min_docs, min_chars, batches, "text")
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.col("kept").alias("kept_text"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """docs with the kept text in place of text."""
-    out = _decided(docs, min_docs, min_chars, batches, [c for c in docs.columns if c != "text"])
-    return out.withColumnRenamed("_kept", "text").select(*docs.columns)
+    out = _decided(docs, min_docs, min_chars, batches, "text")
+    return out.select(*unwrapped(docs.columns, text=F.col("kept")))

@@ -173,6 +173,8 @@ def placed(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: in
     single = two_level(d.where("all = 1").withColumn("_all", F.lit(0)), "_all", key_range(F.col("key")), [F.col("key"), F.col("doc_id")], F.lit(1))
     single = single.withColumn("shard", F.coalesce(*[F.when(F.col("pos") < e, F.lit(s)) for s, e in enumerate(ends)]))
     out = linked.select(*columns).unionByName(single.select(*columns))
+    # Documents without links lie in ranges of the key; another hash spreads them over a shard's slots.
+    out = out.withColumn("key", F.xxhash64(F.lit(seed), "key"))
     out = two_level(out, "shard", half_range(F.col("key"), F.lit(whole)), [F.col("key"), F.col("doc_id"), F.col("g1")], F.lit(1))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("pos").alias("slot"), F.lit(None).cast("int").alias("grown_shard")), history
 

@@ -168,12 +168,46 @@ def test_line_dedup_keeps_columns(docs):
 def test_line_runs_are_levelled(spark):
     runs = linededup.LineRuns(spark, fan=2, buckets=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(1, 1, 10 - k), (k + 2, 7, 10 - k)], "h1 long, h2 long, doc_id long"))
+        runs.add(spark.createDataFrame([(1, 1, 10 - k, 0), (k + 2, 7, 10 - k, 0)], "h1 long, h2 long, doc_id long, mark long"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     got = {(r["h1"], r["h2"]): (r["n"], r["keeper"]) for r in runs.merged().collect()}
     assert got[1, 1] == (5, 10) and got[6, 7] == (1, 6)
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
 
 
+def test_rows_without_ids_are_one_document(spark):
+    line = "a line of more than forty characters that stands in all of them"
+    texts = [(i, line) for i in range(4)] + [(None, f"own {k}\n{line}") for k in range(3)] + [(9, f"{line}\nlast")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = linededup.line_report(d).withColumn("sha", F.sha2("kept_text", 256)).collect()
+    assert sorted((repr(r["doc_id"]), r["n_lines"], r["n_dropped"], r["sha"]) for r in got) == brute_lines(texts)
+
+
+NAMES = ["row", "_", "_text", "_lost", "_stays", "_times", "kept", "lang_", "score", "mark", "id", "t1", "slot", "own", "lost", "n_lines", "times", "places", "all_slots", "kind"]
+
+
+def test_stages_keep_columns_of_any_name(docs):
+    from pyspark.sql import Row
+
+    d = docs.limit(120).select("doc_id", "text", "lang", "source", *[F.lit(i).alias(n) for i, n in enumerate(NAMES)])
+    for stage in (langid.keep_identified, linededup.dedup_lines, minhash.keep_one, mixing.mixed_documents):
+        out = stage(d)
+        assert out.columns == d.columns
+        first = out.first()
+        assert isinstance(first, Row) and [first[n] for n in NAMES] == list(range(len(NAMES)))
+
+
+def test_very_long_texts(spark):
+    long = "x" * 3_000_000
+    words = " ".join(f"w{i % 977}" for i in range(400_000))
+    d = spark.createDataFrame([(1, long, "en", "a"), (2, words, "en", "a"), (3, words + " end", "en", "b"), (4, "short text of words", "en", None)], "doc_id long, text string, lang string, source string").repartition(2)
+    near = {r["doc_id"]: r for r in minhash.near_duplicates(d).collect()}
+    assert near[3]["component_id"] == 2 and near[1]["n_shingles"] == 1
+    assert {r["doc_id"]: r["n_dropped"] for r in linededup.line_report(d).collect()} == dict.fromkeys((1, 2, 3, 4), 0)
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: 1, 2: 400_000, 3: 400_001, 4: 4}
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(d).collect()}[4] in ("en", "und") and sharding.shard(d, shards=2).count() == 4
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
