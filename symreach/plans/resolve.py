@@ -20,7 +20,7 @@ from ..sources.extract import extract
 from ..sources.files import named_modules, python_text, stdlib
 
 ROWS = "row string, path string, module string, package boolean, idx int, name string, kind string, start_line int, start_column int, end_line int, end_column int, flags long, imp_module string, imp_decl string, imp_star boolean, target int, chain array<string>, value string"
-MOST_STARS = 16
+MOST_STARS = 256
 
 
 def _parse(batches):
@@ -61,18 +61,17 @@ def _union(*frames: DataFrame) -> DataFrame:
 
 
 def star_names(rows: DataFrame, modules: DataFrame) -> DataFrame:
-    """(module, name, from_module, statement): public names that star imports bring, through chains of them; own names come first."""
+    """(module, name, from_module, statement, shadowed): public names that star imports bring, through chains and cycles of them; shadowed by a name of the module's own."""
     own = rows.where("row = 'export'").select("module", "name").where("NOT startswith(name, '_')").distinct()
     stars = rows.where("row = 'star'").select("module", F.col("name").alias("from_module"), F.col("idx").alias("statement")).join(modules.select(F.col("module").alias("from_module")), "from_module", "left_semi")
-    known, found = own, None
+    known, size = own, -1
     for _ in range(MOST_STARS):
-        more = stars.join(known.select(F.col("module").alias("from_module"), "name"), "from_module").join(own, ["module", "name"], "left_anti").select("module", "name", "from_module", "statement")
+        more = stars.join(known.select(F.col("module").alias("from_module"), "name"), "from_module").select("module", "name", "from_module", "statement")
         more = cut(more.groupBy("module", "name").agg(F.max(F.struct("statement", "from_module")).alias("x")).select("module", "name", F.col("x.from_module").alias("from_module"), F.col("x.statement").alias("statement")))
         n = more.count()
-        if found is not None and n == size or not n:
-            return more
-        found, size = more, n
-        known = own.unionByName(more.select("module", "name")).distinct()
+        if n == size or not n:
+            return more.join(own.withColumn("_own", F.lit(True)), ["module", "name"], "left").withColumn("shadowed", F.col("_own").isNotNull()).drop("_own")
+        size, known = n, own.unionByName(more.select("module", "name")).distinct()
     raise RuntimeError("star imports chain too deep")
 
 
@@ -91,6 +90,7 @@ def build(files: DataFrame, paths: list[str], registry: FlagRegistry | None = No
     again = W.partitionBy("path").orderBy("statement", "name")
     per = nodes.groupBy("path").agg(F.max("idx").alias("_last"))
     minted = stars.join(at, ["module", "statement"]).join(per, "path").select("path", "module", (F.col("_last") + F.row_number().over(again)).cast("int").alias("idx"), F.concat_ws(".", "module", "name").alias("fqname"), F.lit("import").alias("kind"), "start_line", "start_column", "end_line", "end_column", F.lit(S.STAR_REEXPORT).cast("long").alias("flags"), F.struct(F.col("from_module").alias("module"), F.col("name").alias("decl"), F.lit(False).alias("star")).alias("import"), F.col("name").alias("star_name"), "statement")
+    shadowed = stars.where("shadowed").select("module", F.col("name").alias("star_name"))
     nodes = cut(nodes.withColumn("statement", F.lit(None).cast("int")).unionByName(minted))
     count = nodes.groupBy("path").agg(F.max("idx").alias("_n"))
     base = cut(count.select("path", F.coalesce(F.sum(F.col("_n") + 1).over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")))
@@ -99,30 +99,39 @@ def build(files: DataFrame, paths: list[str], registry: FlagRegistry | None = No
 
     module_ids = cut(nodes.where("kind = 'module'").join(modules, ["module", "path"]).select("module", F.col("node_id").alias("module_id"), "package"))
     exports = rows.where("row = 'export'").join(base, "path").select("module", "path", "name", node_id.alias("node_id")).join(modules.select("module", "path"), ["module", "path"], "left_semi").drop("path")
-    shadow = nodes.where("star_name IS NOT NULL").select("module", F.col("star_name").alias("name"), "node_id")
+    # A module's own name comes before the node that a star makes for it.
+    shadow = nodes.where("star_name IS NOT NULL").join(shadowed, ["module", "star_name"], "left_anti").select("module", F.col("star_name").alias("name"), "node_id")
     # An import goes through stars to the declaration; a use stops at the star's own node.
     real = exports.select("module", "name", "node_id")
-    hops = stars.select("module", "name", "from_module")
-    deep = real
+    hops = stars.where("NOT shadowed").select("module", "name", "from_module")
+    deep, size = real, -1
     for _ in range(MOST_STARS):
         step = hops.join(deep.select(F.col("module").alias("from_module"), "name", "node_id"), ["from_module", "name"]).select("module", "name", "node_id")
-        more = cut(deep.unionByName(step).distinct())
-        if more.count() == deep.count():
+        deep = cut(deep.unionByName(step).distinct())
+        n = deep.count()
+        if n == size:
             break
-        deep = more
+        size = n
+    else:
+        raise RuntimeError("star imports chain too deep")
     for_binding, for_use = cut(deep), cut(exports.unionByName(shadow))
 
-    refs = rows.where("row = 'ref'").join(base, "path").select((F.col("base") + F.col("idx")).cast("long").alias("src"), F.col("kind").alias("role"), F.col("imp_module").alias("module"), F.col("imp_decl").alias("decl"), "imp_star", F.when(F.col("kind") == "local", (F.col("base") + F.col("target")).cast("long")).alias("local"), "chain", F.col("flags").cast("int").alias("flags"))
+    refs = rows.where("row = 'ref'").join(base, "path").select((F.col("base") + F.col("idx")).cast("long").alias("src"), F.col("kind").alias("role"), F.col("imp_module").alias("module"), F.col("imp_decl").alias("decl"), "imp_star", F.col("module").alias("own"), F.when(F.col("kind") == "local", (F.col("base") + F.col("target")).cast("long")).alias("local"), "chain", F.col("flags").cast("int").alias("flags"))
     refs = cut(refs)
     edges = [refs.where("role = 'local'").select("src", F.col("local").alias("dst"), "flags")]
 
     # Member references: base module, then a declaration or submodule, then the chain.
-    member = refs.where("role <> 'local'").join(module_ids.select("module", "module_id"), "module", "left").withColumn("ref", F.monotonically_increasing_id())
+    # An import from the file's own module binds nothing new.
+    member = refs.where("role <> 'local' AND NOT (role = 'binding' AND module = own)").join(module_ids.select("module", "module_id"), "module", "left").withColumn("ref", F.monotonically_increasing_id())
     member = cut(member)
     inside = member.where("module_id IS NOT NULL")
     edges.append(inside.where("role IN ('binding', 'use') AND decl IS NULL AND imp_star = false AND (role = 'binding' OR size(chain) = 0)").select("src", F.col("module_id").alias("dst"), "flags"))
     edges.append(inside.where("imp_star").select("src", F.col("module_id").alias("dst"), "flags"))
     sub = module_ids.select(F.col("module").alias("sub"), F.col("module_id").alias("sub_id"))
+    # Declarations that stand for modules: variables that a dynamic import makes, and imports of modules.
+    made = rows.where("row = 'fact' AND name = 'denotes'").join(base, "path").select(node_id.alias("_node"), F.col("value").alias("_module"))
+    bound_to = nodes.where("kind = 'import' AND NOT import.star").select(F.col("node_id").alias("_node"), F.when(F.col("import.decl").isNotNull(), F.concat_ws(".", "import.module", "import.decl")).when(F.substring_index("fqname", ".", -1) == F.split("import.module", "[.]")[0], F.split("import.module", "[.]")[0]).otherwise(F.col("import.module")).alias("_module"))
+    denotes = cut(made.unionByName(bound_to).join(module_ids.select(F.col("module").alias("_module"), F.col("module_id").alias("_module_id")), "_module"))
 
     def step(found: DataFrame, name, names: DataFrame, prefer_name: bool):
         """found (ref, src, flags, module, module_id, chain) one segment on: edges, and what stands at submodules."""
@@ -133,12 +142,18 @@ def build(files: DataFrame, paths: list[str], registry: FlagRegistry | None = No
         ended = asked.where(~goes)
         hit = ended.select("src", F.col("module_id").alias("dst"), "flags").unionByName(ended.where("_node IS NOT NULL").select("src", F.col("_node").alias("dst"), "flags"))
         on = asked.where(goes).dropDuplicates(["ref"]).select("ref", "role", "src", "flags", F.col("sub").alias("module"), F.col("sub_id").alias("module_id"), "chain")
+        # What stands for a module passes the rest of the chain on to it.
+        through = ended.where("_node IS NOT NULL AND role = 'use' AND size(chain) > 0").join(denotes, "_node")
+        on = on.unionByName(through.select("ref", "role", "src", "flags", F.col("_module").alias("module"), F.col("_module_id").alias("module_id"), "chain"))
         lost = ended.where("_node IS NULL").select("ref", "src", "role")
         return hit, on, lost
 
     bound = inside.where("role = 'binding' AND decl IS NOT NULL")
     hit, on, lost = step(bound, F.col("decl"), for_binding, True)
-    edges += [hit, on.select("src", F.col("module_id").alias("dst"), "flags")]
+    edges.append(on.select("src", F.col("module_id").alias("dst"), "flags"))
+    # A binding that a circle of stars leads back to itself keeps its loop; no other edge does.
+    circles = hit.where("src = dst")
+    edges.append(hit)
     unresolved = [lost.select(F.col("src").alias("node_id"))]
     used = inside.where("role = 'use' AND decl IS NOT NULL")
     hit, on, _ = step(used, F.col("decl"), for_use, False)
@@ -150,6 +165,11 @@ def build(files: DataFrame, paths: list[str], registry: FlagRegistry | None = No
         hit, on, _ = step(more, F.col("_head"), for_use, False)
         edges.append(hit)
         walking = cut(on)
+    # A name that a star import brings: its node in the module, the declaration that it comes from and that one's module.
+    starred = cut(inside.where("role = 'starred'").select("src", "flags", "module", F.col("decl").alias("name")))
+    brought = starred.join(hops, ["module", "name"]).select("src", "flags", F.col("from_module").alias("module"), "name").join(for_binding, ["module", "name"]).select("src", F.col("node_id").alias("dst"), "flags")
+    at_home = nodes.select(F.col("node_id").alias("dst"), "module").join(module_ids.select("module", "module_id"), "module")
+    edges += [starred.join(shadow, ["module", "name"]).select("src", F.col("node_id").alias("dst"), "flags"), brought, brought.join(at_home, "dst").select("src", F.col("module_id").alias("dst"), "flags")]
     dynamic = inside.where("role = 'dynamic'")
     edges.append(dynamic.select("src", F.col("module_id").alias("dst"), "flags"))
     hit, on, _ = step(dynamic.withColumn("_each", F.explode("chain")).withColumn("ref", F.monotonically_increasing_id()), F.col("_each"), for_use, False)
@@ -181,7 +201,7 @@ def build(files: DataFrame, paths: list[str], registry: FlagRegistry | None = No
     edges.append(stub.join(twin, ["stem", "name"]).select(F.col("node_id").alias("src"), "dst", F.lit(0).alias("flags")))
     only = stub.join(paired, "stem", "left_semi").join(twin, ["stem", "name"], "left_anti").select("node_id", F.lit(S.ENTRYPOINT).cast("long").alias("bits"))
 
-    all_edges = _union(*[e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("flags").cast("int").alias("flags")) for e in edges]).where("src <> dst").dropDuplicates(["src", "dst", "flags"])
+    all_edges = _union(*[e.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("flags").cast("int").alias("flags")) for e in edges]).where("src <> dst").unionByName(circles.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("flags").cast("int").alias("flags"))).dropDuplicates(["src", "dst", "flags"])
     bits = _union(*[u.select("node_id", F.lit(S.UNRESOLVED).cast("long").alias("bits")) for u in unresolved], only).groupBy("node_id").agg(F.bit_or("bits").alias("_bits"))
     columns = [f.name for f in S.NODES.fields]
     final = nodes.join(bits, "node_id", "left").withColumn("flags", F.col("flags").bitwiseOR(F.coalesce("_bits", F.lit(0).cast("long")))).select(*columns)

@@ -20,7 +20,7 @@ NOQA = re.compile(r"#\s*noqa(?P<codes>\s*:\s*[A-Z]+[0-9]+(?:[,\s]+[A-Z]+[0-9]+)*
 @dataclass
 class Ref:
     src: int
-    kind: str  # local, binding, use, dynamic
+    kind: str  # local, binding, use, starred, dynamic
     target: int = -1
     module: str | None = None
     decl: str | None = None
@@ -178,6 +178,7 @@ class Extractor:
         self.file = File()
         self.live: dict[str, set[int]] = {}
         self.deferred: list = []
+        self.modules: dict[int, str] = {}
         self.dead: list[tuple[int, int]] = []
 
     def run(self) -> File:
@@ -581,8 +582,14 @@ class Extractor:
             return
         if any(name in s for s in scopes):
             return
-        for i in self.live.get(name, ()) if not self.file.exports else self.file.exports.get(name, ()):
+        found = self.live.get(name, ()) if not self.file.exports else self.file.exports.get(name, ())
+        if not found and self.file.stars:
+            # A star import may bring it.
+            self.file.refs.append(Ref(owner, "starred", module=self.module, decl=name, flags=flag))
+        for i in found:
             self.file.refs.append(Ref(owner, "local", target=i, flags=flag))
+            if i in self.modules and chain:
+                self.member(owner, self.modules[i], None, name, True, chain, flag)
             if (imported := self.file.nodes[i].imported) is not None:
                 self.member(owner, imported[0], imported[1], name, imported[1] is not None or name != imported[0].split(".")[0], chain, flag)
 
@@ -596,6 +603,20 @@ class Extractor:
                 module = bound
         self.file.refs.append(Ref(owner, "use", module=module, decl=decl, chain=chain, flags=flag))
 
+    def dynamic_module(self, e: ast.expr) -> str | None:
+        """The module that import_module("...") or __import__("...") of a plain string gives."""
+        if not (isinstance(e, ast.Call) and e.args and isinstance(e.args[0], ast.Constant) and isinstance(e.args[0].value, str)):
+            return None
+        name, text = e.args[0].value, _dotted(e.func)
+        if text in ("importlib.import_module", "import_module"):
+            if not name.startswith("."):
+                return name
+            level = len(name) - len(name.lstrip("."))
+            return absolute(name[level:] or None, level, self.module, self.package) if len(e.args) == 1 and not e.keywords else None
+        if text == "__import__" and len(e.args) == 1 and not e.keywords:
+            return name.split(".")[0]
+        return None
+
     def call(self, e: ast.Call, owner: int) -> None:
         """Dynamic imports, and call sites with string arguments."""
         text = _dotted(e.func)
@@ -648,6 +669,9 @@ class Extractor:
                 self.file.facts.append(("base", node, n.name))
 
     def value_facts(self, name: str, value: ast.expr, node: int) -> None:
+        if module := self.dynamic_module(value):
+            self.modules[node] = module
+            self.file.facts.append(("denotes", node, module))
         if isinstance(value, ast.Call) and (ctor := _dotted(value.func)):
             self.file.facts.append(("construction", node, ctor))
         if isinstance(value, (ast.List, ast.Tuple)) and value.elts and all(isinstance(x, ast.Constant) and isinstance(x.value, str) for x in value.elts):

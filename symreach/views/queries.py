@@ -12,6 +12,7 @@ from ..functions.names import simple_name
 from ..operators import closure, filters, lookups, stats
 from ..plans.plugins import GraphView, Ops, apply_ops, dispatch_edges, dynamic_fanout, fixture_edges, subclasses
 from ..streaming.incremental import dirty_files, latest_state, retranslate
+from . import trees
 from .tables import ASKED_CTE, CTE, NAMES_CTE, STEPS_CTE, asked_names, document_names, graph, registry, table, user_steps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -422,3 +423,7 @@ def dirty_files_query(spark, d):
 def retranslate_set(spark, d):
     reads = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("read"))
     return retranslate(reads, table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("path")))
+
+
+QUERIES |= trees.QUERIES
+ORACLES |= trees.ORACLES
