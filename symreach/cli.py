@@ -15,13 +15,13 @@ from .plans.builtin import builtin
 from .plans.plugins import Explicit, run_plugins
 from .plans.resolve import build
 from .sources.codemod import patch
-from .sources.files import project_scripts, read_tree, report_json, search_paths
+from .sources.files import installed, project_scripts, read_tree, report_json, search_paths
 
 QUERIES = ("dead", "test-only", "dead-tests")
 
 
 def make_graph(spark: SparkSession, root: str, venv: str | None, plugins: list[str], entrypoints: list[str], regexes: list[str]) -> SymbolGraph:
-    graph = build(read_tree(spark, root), search_paths(root, venv))
+    graph = build(read_tree(spark, root), search_paths(root, venv), dists=installed(spark, venv))
     own = [builtin(p, **({"targets": project_scripts(root)} if p == "project_scripts" else {})) for p in plugins]
     if entrypoints or regexes:
         own.append(Explicit(regexes=regexes, exact=entrypoints))

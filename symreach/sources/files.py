@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
-import re
 import sys
 import tomllib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ FILES = "path string, content string"
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, sha) of all .py, .pyi and .ipynb files below root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = files.where(F.col("path").rlike(r"[.](py|pyi|ipynb)$"))
+    # The names are matched before any content is read.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{py,pyi,ipynb}").load(root)
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("sha"))
 
 
@@ -81,6 +82,14 @@ def distributions(spark: SparkSession, site_packages: str) -> DataFrame:
     return records.where(F.col("file").endswith(".py")).join(names, "folder").groupBy(top.alias("top")).agg(F.min("dist").alias("dist"))
 
 
+def installed(spark: SparkSession, venv: str | None) -> DataFrame | None:
+    """(top, dist) of all distributions in a virtual environment; None without any."""
+    found = [x for x in glob.glob(os.path.join(venv, "lib", "*", "site-packages")) if glob.glob(os.path.join(x, "*.dist-info", "RECORD"))] if venv else []
+    if not found:
+        return None
+    return reduce(DataFrame.unionByName, [distributions(spark, x) for x in found]).groupBy("top").agg(F.min("dist").alias("dist"))
+
+
 def project_scripts(root: str) -> list[str]:
     """Dotted names of [project.scripts] in pyproject.toml; none without the file."""
     try:

@@ -100,3 +100,15 @@ def test_dead_code_of_a_tree(spark):
 def test_module_names_take_the_deepest_path(spark):
     d = src.named_modules(src.from_dict(spark, {"src/pkg/a.py": "", "src/pkg/__init__.py": "", "b.py": ""}), ["/w", "/w/src"])
     assert {r["path"]: (r["module"], r["package"]) for r in d.collect()} == {"/w/src/pkg/a.py": ("pkg.a", False), "/w/src/pkg/__init__.py": ("pkg", True), "/w/b.py": ("b", False)}
+
+
+def test_installed_distributions_and_listing(spark, tmp_path):
+    info = tmp_path / "venv" / "lib" / "python3.13" / "site-packages" / "Some_Thing-1.0.dist-info"
+    info.mkdir(parents=True)
+    (info / "RECORD").write_text("thing/__init__.py,,\nlone.py,,\n")
+    (info / "METADATA").write_text("Name: Some_Thing\nVersion: 1.0\n")
+    assert {(r["top"], r["dist"]) for r in src.installed(spark, str(tmp_path / "venv")).collect()} == {("thing", "some-thing"), ("lone", "some-thing")}
+    assert src.installed(spark, None) is None and src.installed(spark, str(tmp_path)) is None
+    for name in ("a.py", "b.pyi", "c.ipynb", "d.txt"):
+        (tmp_path / name).write_text("x")
+    assert {r["path"].rsplit("/", 1)[1] for r in src.read_tree(spark, str(tmp_path)).collect()} == {"a.py", "b.pyi", "c.ipynb"}
