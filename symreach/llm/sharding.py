@@ -17,7 +17,8 @@ any name, are ignored."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -26,6 +27,8 @@ from .common import cut, half_range, key_range, two_level
 SHARDS, OVERHEAD, ROUNDS, SEED = 40, 16, 8, 8
 #: Documents of a unit that meet its placement in one task.
 CHUNK = 256
+#: Cycles that the driver looks for in a matrix of shards x shards, at most; each step is lawful by itself.
+CYCLES = 20_000
 
 
 def _grouped(docs: DataFrame, seed: int) -> DataFrame:
@@ -43,7 +46,10 @@ def _grouped(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def _start(linked: DataFrame, total: int, shards: int) -> DataFrame:
-    """g1, g2, unit, shard, n: how many documents of each unit the start deals to each shard. linked: rows of groups with more than one."""
+    """g1, g2, unit, shard, n: how many documents of each unit the start deals to each shard. linked: rows of groups with more than one.
+
+    Units are ranges of the key, so the start takes another hash of it."""
+    linked = linked.withColumn("key", F.xxhash64(F.lit(SEED + 2), "key"))
     d = two_level(linked.withColumn("_all", F.lit(0)), "_all", key_range(F.col("key")), [F.col("key"), F.col("doc_id"), F.col("g1")], F.lit(1))
     q, r = divmod(total, shards)
     edge = r * (q + 1)
@@ -52,24 +58,49 @@ def _start(linked: DataFrame, total: int, shards: int) -> DataFrame:
 
 
 def admitted(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
-    """How many of the wanted moves (from, to) may go so that no shard gains more than its room; moves that swap need no room."""
-    flow = dict(wanted)
-    shards = range(len(room))
-    for _ in range(10_000):
-        gain = [sum(n for (_, b), n in flow.items() if b == s) - sum(n for (a, _), n in flow.items() if a == s) for s in shards]
-        over = [s for s in shards if gain[s] > room[s]]
-        if not over:
-            return {k: n for k, n in flow.items() if n}
-        for s in over:
-            excess = gain[s] - room[s]
-            # Taken from the largest streams first, and from those that free no other shard that is full.
-            for k in sorted((k for k in flow if k[1] == s and flow[k]), key=lambda k: (gain[k[0]] >= room[k[0]], -flow[k], k)):
-                less = min(excess, flow[k])
-                flow[k] -= less
-                excess -= less
-                if not excess:
-                    break
-    return {}
+    """How many of the wanted moves (from, to) may go so that no shard gains more than its room: as many in sum as can.
+
+    Starts from the moves that swap between two shards and augments along cycles that let more in than they take back, over the
+    shards and one node more that stands for the room left. Every step is lawful; without such a cycle the sum is the most."""
+    n = len(room)
+    want = np.zeros((n, n), np.int64)
+    for (a, b), k in wanted.items():
+        want[a, b] = k
+    flow = np.minimum(want, want.T)
+    for _ in range(CYCLES):
+        gain = flow.sum(axis=0) - flow.sum(axis=1)
+        # A step along (a, b) lets a move in (-1), takes one of (b, a) back (+1), uses room or frees it (0).
+        cost = np.full((n + 1, n + 1), np.inf)
+        cost[:n, :n] = np.where(want > flow, -1.0, np.where(flow.T > 0, 1.0, np.inf))
+        cost[:n, n] = np.where(np.array(room) > gain, 0.0, np.inf)
+        cost[n, :n] = 0.0
+        far, come, last = np.zeros(n + 1), np.zeros(n + 1, np.int64), None
+        for _ in range(n + 1):
+            by = far[:, None] + cost
+            now = by.min(axis=0)
+            closer = now < far
+            come = np.where(closer, by.argmin(axis=0), come)
+            far = np.minimum(far, now)
+            last = np.flatnonzero(closer)
+            if not len(last):
+                break
+        if not len(last):
+            break
+        at = int(last[0])
+        for _ in range(n + 1):
+            at = int(come[at])
+        cycle, x = [], at
+        while not cycle or x != at:
+            cycle.append((int(come[x]), x))
+            x = int(come[x])
+        least = min(int(want[a, b] - flow[a, b]) if a < n > b and cost[a, b] < 0 else int(flow[b, a]) if a < n > b else int(room[a] - gain[a]) if b == n else 1 << 62 for a, b in cycle)
+        for a, b in cycle:
+            if a < n > b:
+                if cost[a, b] < 0:
+                    flow[a, b] += least
+                else:
+                    flow[b, a] -= least
+    return {(int(a), int(b)): int(flow[a, b]) for a, b in np.argwhere(flow > 0)}
 
 
 def cut_pairs(parts: DataFrame) -> int:
@@ -78,10 +109,13 @@ def cut_pairs(parts: DataFrame) -> int:
     return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()[0])
 
 
-def _yields(parts: DataFrame, unmet: dict[tuple[int, int], int], shards: int, seed: int) -> DataFrame:
-    """g1, g2, unit, shard, goal, n: units that lie whole in a shard which others could not enter, and change places with those."""
+def _yields(parts: DataFrame, unmet: dict[tuple[int, int], int], shards: int, seed: int, cores: bool, luck: Column) -> DataFrame:
+    """g1, g2, unit, shard, goal, n: units that lie whole in a shard which others could not enter, and change places with those.
+
+    With `cores` (where no part could move at all) the largest parts of cut units may go too; a part that moves as one cuts no more pairs."""
     unit = ["g1", "g2", "unit"]
-    whole = parts.groupBy(*unit).agg(F.count("*").alias("parts"), F.first("shard").alias("shard"), F.sum("n").alias("n")).where("parts = 1")
+    whole = parts.groupBy(*unit).agg(F.count("*").alias("parts"), F.max(F.struct("n", luck.alias("luck"), "shard")).alias("best")).where(F.lit(cores) | (F.col("parts") == 1))
+    whole = whole.select(*unit, F.col("best.shard").alias("shard"), F.col("best.n").alias("n"))
     at, ends = {s: 0 for _, s in unmet}, []
     for (a, s), n in sorted(unmet.items(), key=lambda x: (x[0][1], -x[1], x[0])):
         ends.append((s, F.struct(F.lit(at[s]).alias("low"), F.lit(at[s] + n).alias("high"), F.lit(a).alias("goal"))))
@@ -111,7 +145,7 @@ def _round(parts: DataFrame, holds: list[int], turn: int, seed: int) -> DataFram
     wanted = {(r["shard"], r["goal"]): r["n"] for r in asks.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()}
     flow = admitted(wanted, room)
     unmet = {k: n - flow.get(k, 0) for k, n in wanted.items() if n > flow.get(k, 0)}
-    yields = cut(_yields(parts, unmet, shards, seed)) if unmet else None
+    yields = cut(_yields(parts, unmet, shards, seed + turn, not flow, luck)) if unmet else None
     if yields is not None:
         for r in yields.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect():
             flow[r["goal"], r["shard"]] = flow.get((r["goal"], r["shard"]), 0) + r["n"]
@@ -134,10 +168,12 @@ def propagate(parts: DataFrame, holds: list[int], rounds: int = ROUNDS, seed: in
     """The parts with the fewest cut pairs that the rounds gave, and the cut pairs before the first and after each."""
     history, best = [cut_pairs(parts)], parts
     for turn in range(rounds):
-        if not history[-1] or (after := _round(parts, holds, turn, seed)) is None:
+        if not history[-1]:
             break
-        parts = after
-        history.append(cut_pairs(parts))
+        # Where nothing could move, the next round's hash breaks ties otherwise.
+        after = _round(parts, holds, turn, seed)
+        parts = parts if after is None else after
+        history.append(history[-1] if after is None else cut_pairs(parts))
         if history[-1] < min(history[:-1]):
             best = parts
     return best, history
