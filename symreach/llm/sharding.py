@@ -109,25 +109,36 @@ def cut_pairs(parts: DataFrame) -> int:
     return int(per.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()[0])
 
 
-def _yields(parts: DataFrame, unmet: dict[tuple[int, int], int], shards: int, seed: int, cores: bool, luck: Column) -> DataFrame:
-    """g1, g2, unit, shard, goal, n: units that lie whole in a shard which others could not enter, and change places with those.
+def _admitted_parts(ranked: DataFrame, flow: dict[tuple[int, int], int], shards: int) -> DataFrame:
+    """g1, g2, unit, shard, goal, n: how many documents of each asking part its stream's quota lets go, in the order of the ranks."""
+    if not flow:
+        return ranked.select("g1", "g2", "unit", "shard", "goal", "n").where("false")
+    quota = F.create_map(*[x for (a, b), n in flow.items() for x in (F.lit(a * shards + b), F.lit(n))])
+    goes = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce(F.try_element_at(quota, F.col("stream")), F.lit(0)) - F.col("before")))
+    return ranked.withColumn("goes", goes.cast("long")).where("goes > 0").select("g1", "g2", "unit", "shard", "goal", F.col("goes").alias("n"))
+
 
-    With `cores` (where no part could move at all) the largest parts of cut units may go too; a part that moves as one cuts no more pairs."""
+def _yields(parts: DataFrame, unmet: dict[tuple[int, int], int], most: dict[int, int], seed: int) -> DataFrame:
+    """g1, g2, unit, shard, goal, n: parts in a shard that others could not enter, the smallest first, which change places with those.
+
+    A part that moves as one cuts no more pairs; it is split only where it is no larger than the largest core that asks (most)."""
     unit = ["g1", "g2", "unit"]
-    whole = parts.groupBy(*unit).agg(F.count("*").alias("parts"), F.max(F.struct("n", luck.alias("luck"), "shard")).alias("best")).where(F.lit(cores) | (F.col("parts") == 1))
-    whole = whole.select(*unit, F.col("best.shard").alias("shard"), F.col("best.n").alias("n"))
     at, ends = {s: 0 for _, s in unmet}, []
     for (a, s), n in sorted(unmet.items(), key=lambda x: (x[0][1], -x[1], x[0])):
         ends.append((s, F.struct(F.lit(at[s]).alias("low"), F.lit(at[s] + n).alias("high"), F.lit(a).alias("goal"))))
         at[s] += n
     per = F.create_map(*[x for s in at for x in (F.lit(s), F.array(*[e for t, e in ends if t == s]))])
-    ranked = two_level(whole.where(F.col("shard").isin(list(at))), "shard", F.floor(F.log2("n")).cast("int") * 256 + F.pmod(F.xxhash64(F.lit(seed), *unit), F.lit(256)), [F.col(c) for c in unit], F.col("n"))
-    fits = F.filter(F.try_element_at(per, F.col("shard")), lambda e: (e["low"] <= F.col("before")) & (F.col("before") + F.col("n") <= e["high"]))
-    return ranked.withColumn("goal", F.get(fits, F.lit(0))["goal"]).where("goal IS NOT NULL").select(*unit, "shard", "goal", "n")
+    ranked = two_level(parts.where(F.col("shard").isin(list(at))), "shard", F.floor(F.log2("n")).cast("int") * 256 + F.pmod(F.xxhash64(F.lit(seed), *unit), F.lit(256)), [F.col(c) for c in unit], F.col("n"))
+    core = F.try_element_at(F.create_map(*[x for s, n in most.items() for x in (F.lit(s), F.lit(n))]), F.col("shard"))
+    until = F.col("before") + F.col("n")
+    meets = F.filter(F.try_element_at(per, F.col("shard")), lambda e: (e["low"] < until) & (F.col("before") < e["high"]))
+    met = ranked.select("*", core.alias("core"), F.explode(meets).alias("e"))
+    part = F.least(F.col("e.high"), until) - F.greatest(F.col("e.low"), F.col("before"))
+    return met.withColumn("part", part.cast("long")).where("part = n OR n <= core").select(*unit, "shard", F.col("e.goal").alias("goal"), F.col("part").alias("n"))
 
 
-def _round(parts: DataFrame, holds: list[int], turn: int, seed: int) -> DataFrame | None:
-    """parts after one round; None if nothing can move. holds: how many documents each shard may hold."""
+def _round(parts: DataFrame, holds: list[int], turn: int, seed: int) -> DataFrame:
+    """parts after one round. holds: how many documents each shard may hold."""
     unit = ["g1", "g2", "unit"]
     shards = len(holds)
     now = {r["shard"]: r["n"] for r in parts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
@@ -144,22 +155,25 @@ def _round(parts: DataFrame, holds: list[int], turn: int, seed: int) -> DataFram
     asks = cut(parts.join(goals, unit).where("shard <> goal"))
     wanted = {(r["shard"], r["goal"]): r["n"] for r in asks.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()}
     flow = admitted(wanted, room)
-    unmet = {k: n - flow.get(k, 0) for k, n in wanted.items() if n > flow.get(k, 0)}
-    yields = cut(_yields(parts, unmet, shards, seed + turn, not flow, luck)) if unmet else None
-    if yields is not None:
-        for r in yields.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect():
-            flow[r["goal"], r["shard"]] = flow.get((r["goal"], r["shard"]), 0) + r["n"]
-    if not flow:
-        return None
     # Within a stream from shard to shard, parts of units with a larger core go first.
+    order = F.floor(F.log2("most")).cast("int") * -256 + F.pmod(F.xxhash64(*unit), F.lit(256))
     asks = asks.withColumn("stream", F.col("shard") * shards + F.col("goal"))
-    ranked = two_level(asks, "stream", F.floor(F.log2("most")).cast("int") * -256 + F.pmod(F.xxhash64(*unit), F.lit(256)), [F.col(c) for c in unit], F.col("n"))
-    quota = F.create_map(*[x for (a, b), n in flow.items() for x in (F.lit(a * shards + b), F.lit(n))])
-    goes = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce(F.try_element_at(quota, F.col("stream")), F.lit(0)) - F.col("before")))
-    moved = ranked.withColumn("goes", goes.cast("long")).where("goes > 0")
-    moved = moved.select(*unit, "shard", "goal", F.col("goes").alias("n"))
-    if yields is not None:
-        moved = moved.unionByName(yields.select(*moved.columns))
+    moved = _admitted_parts(two_level(asks, "stream", order, [F.col(c) for c in unit], F.col("n")), flow, shards)
+    if any(n > flow.get(k, 0) for k, n in wanted.items()):
+        # Of the units of which nothing moves, some (the largest core of each shard and, by a hash, half of the others) ask again
+        # and the others give way, so no part does both and shards change places one for one.
+        moved = cut(moved)
+        asks = asks.join(moved.select(*unit).distinct(), unit, "left_anti").withColumn("toss", F.xxhash64(F.lit(seed - turn), *unit))
+        firm = asks.groupBy("goal").agg(F.max(F.struct("most", "toss")).alias("firm"))
+        asks = cut(asks.join(F.broadcast(firm), "goal").where((F.struct("most", "toss") == F.col("firm")) | (F.pmod("toss", F.lit(2)) == 0)).drop("toss", "firm"))
+        unmet = {(r["shard"], r["goal"]): r["n"] for r in asks.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()}
+        if unmet:
+            rest = parts.join(moved.select(*unit).unionByName(asks.select(*unit)).distinct(), unit, "left_anti")
+            most = {r["goal"]: r["most"] for r in asks.groupBy("goal").agg(F.max("most").alias("most")).collect()}
+            yields = cut(_yields(rest, unmet, most, seed + turn))
+            swaps = {(r["goal"], r["shard"]): r["n"] for r in yields.groupBy("shard", "goal").agg(F.sum("n").alias("n")).collect()}
+            enters = _admitted_parts(two_level(asks, "stream", order, [F.col(c) for c in unit], F.col("n")), swaps, shards)
+            moved = moved.unionByName(yields).unionByName(enters)
     change = moved.select(*unit, F.col("goal").alias("shard"), "n").unionByName(moved.select(*unit, "shard", (-F.col("n")).alias("n")))
     return cut(parts.unionByName(change).groupBy(*unit, "shard").agg(F.sum("n").alias("n")).where("n > 0"))
 
@@ -171,9 +185,8 @@ def propagate(parts: DataFrame, holds: list[int], rounds: int = ROUNDS, seed: in
         if not history[-1]:
             break
         # Where nothing could move, the next round's hash breaks ties otherwise.
-        after = _round(parts, holds, turn, seed)
-        parts = parts if after is None else after
-        history.append(history[-1] if after is None else cut_pairs(parts))
+        parts = _round(parts, holds, turn, seed)
+        history.append(cut_pairs(parts))
         if history[-1] < min(history[:-1]):
             best = parts
     return best, history
