@@ -9,7 +9,8 @@ runs, so nearly every unit is cut. Rounds of propagation, each a few joins over
 most of it (ties by a hash that changes with the round) or, where none of its shards has room, in every second round to one
 that has. For each pair of shards the driver admits as many documents as keep every shard within its quota (a matrix of shards x
 shards; inflow may exceed outflow by the room left for documents without links), the largest parts
-first. Rounds end when no unit is cut or ROUNDS have run. Documents without links have no edges and fill what is left.
+first. Of the units of which nothing could move, some ask again and parts of the others give way to them, one document for
+one. Rounds end when no unit is cut or ROUNDS have run. Documents without links have no edges and fill what is left.
 
 Null text: size 16, one group with other null texts. Repeated rows: each is placed. Null doc_id: placed. Ties of the hash go by doc_id and
 group. Very long texts: only their hashes and lengths go on. Fewer documents than shards: the first shards get one each. Empty tables: no rows. Other columns, of
