@@ -3,12 +3,14 @@
 import json
 import textwrap
 
+import duckdb
 import pytest
 
 from symreach import schema as S
 from symreach.plans.resolve import build
 from symreach.sources import files as src
 from symreach.sources.extract import extract
+from symreach.views.trees import ORACLES, QUERIES
 
 
 def names(source, module="mod"):
@@ -112,3 +114,26 @@ def test_installed_distributions_and_listing(spark, tmp_path):
     for name in ("a.py", "b.pyi", "c.ipynb", "d.txt"):
         (tmp_path / name).write_text("x")
     assert {r["path"].rsplit("/", 1)[1] for r in src.read_tree(spark, str(tmp_path)).collect()} == {"a.py", "b.pyi", "c.ipynb"}
+
+
+@pytest.mark.parametrize("name", ["tree_pinned_nodes", "tree_notes_nodes"])
+def test_tree_columns_of_long_keys(spark, tmp_path_factory, name):
+    d = wide_suppliers(spark, tmp_path_factory)
+    names, rows = duckdb_rows(ORACLES[name].replace("FROM supplier", f"FROM read_parquet('{d}/supplier.parquet/*.parquet')"))
+    assert sorted(map(tuple, QUERIES[name](spark, d).select(*names).collect())) == sorted(rows)
+
+
+_wide: list[str] = []
+
+
+def wide_suppliers(spark, tmp_path_factory) -> str:
+    """A folder with suppliers whose keys are of several lengths."""
+    if not _wide:
+        _wide.append(str(tmp_path_factory.mktemp("wide")))
+        spark.createDataFrame([(7,), (10,), (60_000_123,)], "s_suppkey long").write.parquet(f"{_wide[0]}/supplier.parquet")
+    return _wide[0]
+
+
+def duckdb_rows(sql: str):
+    rel = duckdb.connect().execute(sql)
+    return [x[0] for x in rel.description], rel.fetchall()
