@@ -98,3 +98,26 @@ def test_fact_lookups(graph):
     assert [r["entries"] for r in B.literal_entries(view, "NAMES").collect()] == [["a", "b"]]
     one = graph.nodes.where("fqname = 'test_a.test_one' OR fqname = 'lib'").select("node_id")
     assert {ids[r["node_id"]]: r["parameters"] for r in B.parameters(view, one).collect()} == {"test_a.test_one": ["db"], "lib": []}
+
+
+def test_no_plan_holds_the_joins_of_several_parts(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    joins, write = [], DataFrameWriter.parquet
+
+    def counted(self, *a, **b):
+        joins.append(self._df._jdf.queryExecution().analyzed().toString().count("Join "))
+        return write(self, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    g = build(from_dict(spark, TREE), ["/w"])
+    g = run_plugins(g, [builtin(p) for p in ("pytest", "unittest", "init_subclass", "mock_patch", "flask")], g.facts)
+    g.edges.write.mode("overwrite").format("noop").save()
+    assert max(joins) <= 8
+
+
+def test_small_files_in_one_partition_are_parsed_by_several_tasks(spark):
+    from symreach.plans.resolve import parse
+
+    files = from_dict(spark, {f"m{i}.py": "x = 1\n" for i in range(64)}).coalesce(1)
+    assert len(parse(files, ["/w"]).inputFiles()) > 1
