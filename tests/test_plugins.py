@@ -121,3 +121,16 @@ def test_small_files_in_one_partition_are_parsed_by_several_tasks(spark):
 
     files = from_dict(spark, {f"m{i}.py": "x = 1\n" for i in range(64)}).coalesce(1)
     assert len(parse(files, ["/w"]).inputFiles()) > 1
+
+
+def test_dynamic_fanout_of_one_large_file(spark):
+    from symreach.plans.plugins import dynamic_fanout
+
+    nodes = spark.createDataFrame([(i, f"m.n{i}", "function", "/w/m.py") for i in range(50)] + [(7, "k.n7", "function", "/w/k.py"), (99, "k", "module", "/w/k.py"), (98, "k._x", "function", "/w/k.py")], "node_id long, fqname string, kind string, path string")
+    imports = spark.createDataFrame([(i, 3) for i in range(1000, 1100)] + [(1000, 3), (1000, 99), (5, 4)], "src long, dst long")
+    got = dynamic_fanout(imports, nodes)
+    rows = sorted((r["src"], r["dst"]) for r in got.collect())
+    # 7 stands in both files of 1000's imports and is met once.
+    assert rows == sorted({(s, d) for s in [*range(1000, 1100), 5] for d in range(50) if s != d})
+    # Pairs of names of one file are not shuffled again to be told apart.
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
