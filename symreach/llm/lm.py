@@ -7,9 +7,9 @@ those shares are multiplied and made a distribution again, so that what the wind
 is scored once, in the window in which it is among the last STRIDE, in batches with a causal mask.
 
 What is counted (words, ids, pairs of neighbours) is counted over all training texts by distributed sums; the driver gets a number of cells that
-the vocabulary bounds. The weights start from a fit of WINDOWS windows, a bounded sample by hash, in the driver; then trainers, tasks with a share
-of the training windows each, go on from there, and the mean of their weights is the model. The trainers' windows are SHARE of all, so what
-they learn from grows with the input; there is one for TRAINER_WINDOWS windows, MOST_TRAINERS at most. The base
+the vocabulary bounds. The weights start from a fit of WINDOWS windows, by hash, in the driver; where there are more, trainers, tasks with a part
+of the training windows each, go on from there over every training window once, and the mean of their weights is the model. There is a trainer
+for TRAINER_WINDOWS windows, MOST_TRAINERS at most. The base
 counts words over all training texts; the FREQUENT most frequent are broadcast, the others joined.
 
 Null or empty text: the closing token alone. Repeated rows: each is scored (and counted in training). Null doc_id: never held
@@ -33,8 +33,8 @@ from .shingles import mix, text_slices, word_hashes
 
 CONTEXT, STRIDE, CLASSES, WIDTH, HIDDEN = 8, 24, 40, 16, 32
 WINDOWS, STEPS, BATCH, RATE, SEED = 8192, 800, 192, 0.006, 7
-#: The share of all training windows that trainers learn from, their rate, windows for each trainer and the most trainers.
-SHARE, TRAINER_RATE, TRAINER_WINDOWS, MOST_TRAINERS = 1 / 64, 0.002, 8192, 512
+#: The share of all training windows that trainers learn from (1: every one), their rate, windows for each trainer and the most trainers.
+SHARE, TRAINER_RATE, TRAINER_WINDOWS, MOST_TRAINERS = 1.0, 0.002, 8192, 512
 IDS, FREQUENT, FREQUENT_IDS = 50_257, 1 << 18, 2_048
 #: Ids, the most frequent, that count as neighbours, and what is taken off each count of a pair.
 NEAR, DISCOUNT = 384, 0.6
@@ -324,14 +324,15 @@ class ClassModel:
         np.add.at(grad["E"], inputs.ravel(), gx.reshape(-1, d))
         return loss, grad
 
-    def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED, least: float = 0.1) -> ClassModel:
-        """windows (n, LENGTH + 1) of ids: each place's next id is its target. Adam, at a rate that falls to `least` of the first."""
+    def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED, least: float = 0.1, once: bool = False) -> ClassModel:
+        """windows (n, LENGTH + 1) of ids: each place's next id is its target. Adam, at a rate that falls to `least` of the first. once: steps take every window once, else BATCH of them by chance."""
         if not len(windows):
             return self
         r = np.random.default_rng(seed)
+        parts = np.array_split(r.permutation(len(windows)), steps) if once else None
         m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         for t in range(1, steps + 1):
-            pick = windows[r.integers(0, len(windows), BATCH)]
+            pick = windows[parts[t - 1] if once else r.integers(0, len(windows), BATCH)]
             # Windows at a text's end hold END over and over; only the first counts.
             goal = pick[:, CONTEXT + 1 :]
             real = np.concatenate((np.ones((len(pick), 1), bool), goal[:, :-1] != END), axis=1)
@@ -450,7 +451,7 @@ def _trainers(shared):
 
         def learn() -> None:
             rows = np.frombuffer(b"".join(held), "<u2").reshape(-1, LENGTH + 1).astype(np.int32)
-            model.fit(rows, -(-len(rows) // BATCH), TRAINER_RATE, SEED + n, 0.3)
+            model.fit(rows, -(-len(rows) // BATCH), TRAINER_RATE, SEED + n, 0.3, once=True)
             held.clear()
 
         for batch in batches:
@@ -488,8 +489,8 @@ def train(tokens: DataFrame, windows: int = WINDOWS, steps: int = STEPS) -> Clas
     first = sorted(some(min(1.0, windows / max(whole, 1))).select("window").toArrow()["window"].to_pylist())
     rows = np.frombuffer(b"".join(first), "<u2").reshape(-1, LENGTH + 1).astype(np.int32)
     model = ClassModel(counts, pairs.reshape(frequent + 1, -1)).fit(rows, steps)
-    trainers = min(MOST_TRAINERS, int(whole * SHARE) // TRAINER_WINDOWS)
-    if trainers > 1:
+    trainers = max(1, min(MOST_TRAINERS, int(whole * SHARE) // TRAINER_WINDOWS)) if whole > len(rows) else 0
+    if trainers:
         start = context.broadcast(model)
         dealt = some(SHARE).select(F.pmod(F.xxhash64("k1", "window"), F.lit(trainers)).alias("trainer"), "window").repartition(trainers, "trainer").sortWithinPartitions("trainer", "window")
         mean, total = np.zeros(len(model.packed()) // 4), 0

@@ -731,3 +731,20 @@ def test_packed_whole_numbers():
         for kind in (object, np.int64) if max(abs(c) for row in v for c in row) < 2**62 else (object,):
             assert topk.unpacked(topk.packed(np.array(v, kind)), 2).tolist() == v
     assert topk.beyond(10**30) > topk.beyond(10**29) > topk.beyond(2**63 - 1) and topk.beyond(-(10**30)) < topk.beyond(-(10**29)) and topk.beyond(5) == ""
+
+
+def test_trainers_learn_from_every_training_window(spark, monkeypatch):
+    seen = []
+    fit = lm.ClassModel.fit
+    monkeypatch.setattr(lm.ClassModel, "step", lambda self, inputs, targets, real: (seen.append(len(inputs)), (0.0, {}))[1])
+    model = lm.ClassModel(np.ones(lm.IDS + 1, np.int64), classes=4)
+    w = np.zeros((1000, lm.LENGTH + 1), np.int32)
+    fit(model, w, -(-len(w) // lm.BATCH), once=True)
+    assert sum(seen) == len(w)
+    monkeypatch.undo()
+    # More windows than the first fit takes: trainers get all of them, not a share.
+    dealt, some = [], lm._some_windows
+    monkeypatch.setattr(lm, "_some_windows", lambda rate: (dealt.append(rate), some(rate))[1])
+    rows = [(True, i, np.arange(i, i + 60, dtype="<u2").tobytes()) for i in range(40)]
+    lm.train(spark.createDataFrame(rows, "learnt boolean, k1 long, ids binary"), windows=20, steps=2)
+    assert dealt[1:] == [1.0]
