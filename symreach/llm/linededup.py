@@ -184,7 +184,8 @@ def _decided(docs: DataFrame, min_docs: int, min_chars: int, batches: int, *left
     lost = cut(runs.keys.join(frequent, ["h1", "h2"]).where("doc_id <> keeper").groupBy(F.col("doc_id").alias("own"), F.col("mark").alias("own_mark")).agg(F.collect_list(F.struct("h1", "h2")).alias("lost")))
     runs.close()
     rows = docs.select(whole_row(docs, *left_out), *_named(docs), F.col("text").cast("string").alias("text"))
-    rows = rows.join(lost, (F.col("doc_id") == F.col("own")) & (F.col("mark") == F.col("own_mark")), "left").select("row", "text", "lost")
+    # Always a merge join: a table that is small enough to broadcast would not stay so as the input grows.
+    rows = rows.join(lost.hint("merge"), (F.col("doc_id") == F.col("own")) & (F.col("mark") == F.col("own_mark")), "left").select("row", "text", "lost")
     schema = T.StructType([rows.schema["row"], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
     return rows.mapInArrow(_drop(min_chars), schema)
 
