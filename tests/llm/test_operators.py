@@ -748,3 +748,8 @@ def test_trainers_learn_from_every_training_window(spark, monkeypatch):
     rows = [(True, i, np.arange(i, i + 60, dtype="<u2").tobytes()) for i in range(40)]
     lm.train(spark.createDataFrame(rows, "learnt boolean, k1 long, ids binary"), windows=20, steps=2)
     assert dealt[1:] == [1.0]
+
+
+def test_lost_lines_meet_texts_by_a_merge_join_at_any_size(spark):
+    d = spark.createDataFrame([(i, "a line that is long enough to count as one of its own\nx") for i in range(8)], "doc_id long, text string")
+    assert "strategy=merge" in linededup.line_report(d)._jdf.queryExecution().optimizedPlan().toString()
