@@ -321,7 +321,10 @@ class ClassModel:
         gx += (gk.reshape(-1, d) @ p["K"].T + gv.reshape(-1, d) @ p["V"].T).reshape(x.shape)
         grad["P"] = gx.sum(axis=0)
         grad["E"] = np.zeros_like(p["E"])
-        np.add.at(grad["E"], inputs.ravel(), gx.reshape(-1, d))
+        order = np.argsort(inputs.ravel(), kind="stable")
+        own = inputs.ravel()[order]
+        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        grad["E"][own[heads]] = np.add.reduceat(gx.reshape(-1, d)[order], heads)
         return loss, grad
 
     def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED, least: float = 0.1, once: bool = False) -> ClassModel:
@@ -441,13 +444,13 @@ def _some_windows(rate: float):
 
 def _trainers(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(trainer, window), a trainer's rows together, to (weights, n) of each trainer, after one pass over its windows."""
+        """(trainer, window), a trainer's rows together, to (trainer, weights, n) of each trainer, after one pass over its windows."""
         name, held, n, model = None, [], 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if name is not None:
                 learn()
-                yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary()), pa.array([n])], ["weights", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([model.packed()], pa.binary()), pa.array([n])], ["trainer", "weights", "n"])
 
         def learn() -> None:
             rows = np.frombuffer(b"".join(held), "<u2").reshape(-1, LENGTH + 1).astype(np.int32)
@@ -470,9 +473,20 @@ def _trainers(shared):
     return run
 
 
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(trainer, weights, n) to one row: the mean of the weights, each counting by its n, as doubles."""
+    total, n = None, 0
+    for batch in batches:
+        for weights, k in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
+            own = np.frombuffer(weights, np.float32).astype(float) * k
+            total, n = own if total is None else total + own, n + k
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([(total / n).tobytes()], pa.binary())], ["mean"])
+
+
 def train(tokens: DataFrame, windows: int = WINDOWS, steps: int = STEPS) -> ClassModel:
     """A model from rows (learnt, k1, ids). The driver gets the ids' counts, their pairs' (of a fixed number of
-    cells), about `windows` windows for a first fit of so many steps, and the weights of at most MOST_TRAINERS trainers."""
+    cells), about `windows` windows for a first fit of so many steps, and the mean of the trainers' weights."""
     own = tokens.where("learnt")
     got = own.select("ids").mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = np.array(got["id"], np.int64), np.array(got["n"], np.int64)
@@ -493,11 +507,10 @@ def train(tokens: DataFrame, windows: int = WINDOWS, steps: int = STEPS) -> Clas
     if trainers:
         start = context.broadcast(model)
         dealt = some(SHARE).select(F.pmod(F.xxhash64("k1", "window"), F.lit(trainers)).alias("trainer"), "window").repartition(trainers, "trainer").sortWithinPartitions("trainer", "window")
-        mean, total = np.zeros(len(model.packed()) // 4), 0
-        for r in dealt.mapInArrow(_trainers(start), "weights binary, n long").toLocalIterator():
-            mean += np.frombuffer(r["weights"], np.float32).astype(float) * r["n"]
-            total += r["n"]
-        model.put(mean / max(total, 1))
+        # Written, so that all trainers run side by side: an iterator in the driver would run them one after the other.
+        learnt = cut(dealt.mapInArrow(_trainers(start), "trainer long, weights binary, n long"))
+        for r in learnt.repartition(1).sortWithinPartitions("trainer").mapInArrow(_mean, "mean binary").collect():
+            model.put(np.frombuffer(r["mean"], float))
     return model
 
 

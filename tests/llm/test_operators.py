@@ -750,6 +750,20 @@ def test_trainers_learn_from_every_training_window(spark, monkeypatch):
     assert dealt[1:] == [1.0]
 
 
+def test_trainers_run_side_by_side(spark, monkeypatch):
+    rows = [(True, i, np.arange(i, i + 60, dtype="<u2").tobytes()) for i in range(40)]
+    d = spark.createDataFrame(rows, "learnt boolean, k1 long, ids binary")
+    jobs = []
+    # One trainer, then fifteen: no more jobs, of which the driver runs one after the other.
+    for each in (120, 8):
+        monkeypatch.setattr(lm, "TRAINER_WINDOWS", each)
+        spark.sparkContext.setJobGroup(f"trainers of {each}", "")
+        lm.train(d, windows=20, steps=2)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trainers of {each}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_lost_lines_meet_texts_by_a_merge_join_at_any_size(spark):
     d = spark.createDataFrame([(i, "a line that is long enough to count as one of its own\nx") for i in range(8)], "doc_id long, text string")
     assert "strategy=merge" in linededup.line_report(d)._jdf.queryExecution().optimizedPlan().toString()
