@@ -359,8 +359,8 @@ class ClassModel:
             at += self.p[k].size
 
 
-def windows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """((n, LENGTH + 1) windows over START..., ids, END, END..., the text of each): window w of a text scores its ids w * STRIDE to (w + 1) * STRIDE - 1, END included."""
+def places_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """START..., the ids, END, END... of each text in one array, and of each window its start there, its text and its number in the text."""
     counts = np.array([-(-(len(x) + 1) // STRIDE) for x in ids], np.int64)
     padded = np.full(int(counts.sum()) * STRIDE + len(ids) * (CONTEXT + 1), END, np.int32)
     at, firsts = 0, np.zeros(len(ids), np.int64)
@@ -371,7 +371,12 @@ def windows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at += CONTEXT + 1 + counts[i] * STRIDE
     text = np.repeat(np.arange(len(ids)), counts)
     within = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = firsts[text] + within * STRIDE
+    return padded, firsts[text] + within * STRIDE, text, within
+
+
+def windows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """((n, LENGTH + 1) windows over START..., ids, END, END..., the text of each): window w of a text scores its ids w * STRIDE to (w + 1) * STRIDE - 1, END included."""
+    padded, start, text, _ = places_of(ids)
     return padded[start[:, None] + np.arange(LENGTH + 1)], text
 
 
@@ -425,19 +430,14 @@ def _some_windows(rate: float):
         most = np.uint64(min(int(rate * 2**64), 2**64 - 1))
         for batch in batches:
             heads, column = np.array(batch.column(0), np.int64), batch.column(1)
-            sizes = pa.compute.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
-            counts = -(-(sizes + 1) // STRIDE)
-            text = np.repeat(np.arange(len(counts)), counts)
-            within = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-            named = np.flatnonzero(mix(heads[text].view(np.uint64) + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) <= most)
-            out = []
-            for t, k in zip(text[named].tolist(), within[named].tolist()):
-                x = np.frombuffer(column[t].as_py(), np.uint16)
-                low = max(0, k * STRIDE - CONTEXT - 1)
-                part = x[low : (k + 1) * STRIDE]
-                lead = CONTEXT + 1 + low - k * STRIDE
-                out.append(np.concatenate((np.full(lead, START), part, np.full(LENGTH + 1 - lead - len(part), END))).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(heads[text[named]]), pa.array(out, pa.binary())], ["k1", "window"])
+            for b in range(0, len(column), 100):
+                padded, start, text, within = places_of([np.frombuffer(x, np.uint16) for x in column.slice(b, 100).to_pylist()])
+                own = heads[b : b + 100][text]
+                named = np.flatnonzero(mix(own.view(np.uint64) + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) <= most)
+                out = padded.astype("<u2")[start[named][:, None] + np.arange(LENGTH + 1)]
+                offsets = np.arange(len(named) + 1, dtype=np.int64) * 2 * (LENGTH + 1)
+                windows = pa.Array.from_buffers(pa.large_binary(), len(named), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([pa.array(own[named]), windows.cast(pa.binary())], ["k1", "window"])
 
     return run
 

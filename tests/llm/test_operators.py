@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -750,6 +751,14 @@ def test_trainers_learn_from_every_training_window(spark, monkeypatch):
     assert dealt[1:] == [1.0]
 
 
+def test_windows_dealt_out_are_those_of_the_texts():
+    ids = [np.arange(n, dtype="<u2") for n in (0, 1, 22, 23, 24, 25, 47, 48, 500, *[30] * 200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), pa.array([x.tobytes() for x in ids], pa.binary())], ["k1", "ids"])
+    got = pa.Table.from_batches(list(lm._some_windows(1.0)([batch])))
+    windows, text = lm.windows_of(ids)
+    assert got["window"].to_pylist() == [w.astype("<u2").tobytes() for w in windows] and got["k1"].to_pylist() == text.tolist()
+
+
 def test_trainers_run_side_by_side(spark, monkeypatch):
     rows = [(True, i, np.arange(i, i + 60, dtype="<u2").tobytes()) for i in range(40)]
     d = spark.createDataFrame(rows, "learnt boolean, k1 long, ids binary")
