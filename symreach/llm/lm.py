@@ -236,95 +236,102 @@ class ClassModel:
         causal = np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]
         self.mask, self.causal = np.where(causal, 0, -1e9).astype(np.float32), causal.astype(np.float32)
 
-    def forward(self, inputs: np.ndarray):
-        """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes) and what the gradients need."""
-        p, n, d = self.p, len(inputs), self.p["Q"].shape[0]
-        x = p["E"][inputs] + p["P"]
-        q = x[:, CONTEXT:].reshape(-1, d) @ p["Q"] * np.float32(d**-0.5)
-        kv = x.reshape(-1, d) @ np.concatenate((p["K"], p["V"]), axis=1)
-        k, v = kv[:, :d].reshape(n, LENGTH, d), kv[:, d:].reshape(n, LENGTH, d)
-        a = np.matmul(q.reshape(n, STRIDE, d), k.transpose(0, 2, 1)) + self.mask
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        o = np.matmul(a, v)
-        h = np.tanh(o.reshape(-1, d) @ p["O"] + x[:, CONTEXT:].reshape(-1, d) @ p["S"] + p["b"])
-        last = np.minimum(inputs[:, CONTEXT:], self.frequent).ravel()
-        return h @ p["W"] + p["c"] + self.class_after[last], (x, q, k, v, a, o, h)
-
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural logs, (n, STRIDE), of targets (ids) given inputs: forward() in fewer passes, for scoring."""
-        p, n, d = self.p, len(inputs), self.p["Q"].shape[0]
+    def attend(self, inputs: np.ndarray):
+        """inputs (n, LENGTH) of input numbers to the hidden layer (n * STRIDE, hidden) and what the gradients need."""
+        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], self.p["E"].dtype
         x = p["E"][inputs]
         x += p["P"]
-        own = x[:, CONTEXT:].reshape(-1, d)
-        q = (own @ (p["Q"] * np.float32(d**-0.5))).reshape(n, STRIDE, d)
         flat = x.reshape(-1, d)
+        # What attention finds, and beside it the place's own input.
+        both = np.empty((n * STRIDE, 2 * d), kind)
+        both[:, d:].reshape(n, STRIDE, d)[:] = x[:, CONTEXT:]
+        q = (both[:, d:] @ (p["Q"] * np.float32(d**-0.5))).reshape(n, STRIDE, d)
         k = (flat @ p["K"]).reshape(n, LENGTH, d)
         # A last column of ones gives each row's sum with the same product.
-        v = np.ones((n, LENGTH, d + 1), np.float32)
+        v = np.ones((n, LENGTH, d + 1), kind)
         v[:, :, :d] = (flat @ p["V"]).reshape(n, LENGTH, d)
         a = np.matmul(q, k.transpose(0, 2, 1))
-        if np.sqrt((q * q).sum(axis=2).max(initial=0) * (k * k).sum(axis=2).max(initial=0)) > SAFE:
+        if np.sqrt(np.einsum("ijk,ijk->ij", q, q).max(initial=0) * np.einsum("ijk,ijk->ij", k, k).max(initial=0)) > SAFE:
             a -= (a + self.mask).max(axis=2, keepdims=True)
             np.minimum(a, SAFE, out=a)
         np.exp(a, out=a)
         a *= self.causal
         o = np.matmul(a, v).reshape(-1, d + 1)
-        o = o[:, :d] / o[:, d:]
-        h = o @ p["O"]
-        h += own @ p["S"]
+        total = o[:, d:]
+        np.divide(o[:, :d], total, out=both[:, :d])
+        h = both @ np.concatenate((p["O"], p["S"]))
         h += p["b"]
         np.tanh(h, out=h)
-        last, goal = np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), self.rank[targets.ravel()]
-        group = self.class_of[goal]
-        logits = h @ p["W"]
-        logits += p["c"]
-        logits += self.class_after[last]
-        picked = logits[np.arange(len(goal)), group]
+        return h, (flat, both, q, k, v, a, total)
+
+    def forward(self, inputs: np.ndarray):
+        """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes) and what the gradients need."""
+        h, kept = self.attend(inputs)
+        logits = h @ self.p["W"]
+        logits += self.p["c"]
+        logits += self.class_after[np.minimum(inputs[:, CONTEXT:], self.frequent).ravel()]
+        return logits, (h, *kept)
+
+    def lower(self, logits: np.ndarray) -> None:
+        """Takes each row's largest logit from it, where exp() could pass single precision without."""
         # The shares' logs lie between -70 and 0, one of them near 0.
-        if (np.abs(p["W"]).sum(axis=0) + np.abs(p["c"])).max() > SAFE:
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-        else:
-            top = np.float32(0)
+        if (np.abs(self.p["W"]).sum(axis=0) + np.abs(self.p["c"])).max() > SAFE:
+            logits -= logits.max(axis=1, keepdims=True)
+
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Natural logs, (n, STRIDE), of targets (ids) given inputs."""
+        logits, _ = self.forward(inputs)
+        self.lower(logits)
+        last, goal = np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), self.rank[targets.ravel()]
+        picked = logits[np.arange(len(goal)), self.class_of[goal]]
         np.exp(logits, out=logits)
-        return (picked - top - np.log(logits.sum(axis=1)) + self.after[last, goal] + self.within[targets.ravel()]).reshape(targets.shape)
+        return (picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype)) + self.after[last, goal] + self.within[targets.ravel()]).reshape(targets.shape)
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over real targets, and its gradients."""
-        p, n, d = self.p, len(inputs), self.p["Q"].shape[0]
-        logits, (x, q, k, v, a, o, h) = self.forward(inputs)
-        goal, w = self.class_of[self.rank[targets.ravel()]], real.ravel().astype(np.float32)
+        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], self.p["E"].dtype
+        logits, (h, flat, both, q, k, v, a, total) = self.forward(inputs)
+        self.lower(logits)
+        goal, w = self.class_of[self.rank[targets.ravel()]], real.ravel().astype(kind)
         w /= max(w.sum(), 1)
-        logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
-        at = np.arange(len(goal))
-        loss = float(-(np.log(logits[at, goal] + 1e-20) * w).sum())
-        logits[at, goal] -= 1
-        g = logits * w[:, None]
-        grad = {"W": h.T @ g, "c": g.sum(axis=0)}
-        gh = (g @ p["W"].T) * (1 - h * h)
-        xs = x[:, CONTEXT:].reshape(-1, d)
-        grad |= {"O": o.reshape(-1, d).T @ gh, "S": xs.T @ gh, "b": gh.sum(axis=0)}
-        gx = np.zeros_like(x)
-        gx[:, CONTEXT:] += (gh @ p["S"].T).reshape(n, STRIDE, d)
-        go = (gh @ p["O"].T).reshape(n, STRIDE, d)
-        gv = np.matmul(a.transpose(0, 2, 1), go)
-        ga = np.matmul(go, v.transpose(0, 2, 1))
-        gs = a * (ga - (ga * a).sum(axis=2, keepdims=True))
-        gq = np.matmul(gs, k).reshape(-1, d) * np.float32(d**-0.5)
-        gk = np.matmul(gs.transpose(0, 2, 1), q.reshape(n, STRIDE, d))
-        grad |= {"Q": xs.T @ gq, "K": x.reshape(-1, d).T @ gk.reshape(-1, d), "V": x.reshape(-1, d).T @ gv.reshape(-1, d)}
-        gx[:, CONTEXT:] += (gq @ p["Q"].T).reshape(n, STRIDE, d)
-        gx += (gk.reshape(-1, d) @ p["K"].T + gv.reshape(-1, d) @ p["V"].T).reshape(x.shape)
-        grad["P"] = gx.sum(axis=0)
+        at, ones = np.arange(len(goal)), np.ones(len(goal), kind)
+        picked = logits[at, goal]
+        g = np.exp(logits, out=logits)
+        mass = g @ np.ones(g.shape[1], kind)
+        loss = float(((np.log(mass) - picked) * w).sum())
+        g *= (w / mass)[:, None]
+        g[at, goal] -= w
+        grad = {"W": h.T @ g, "c": ones @ g}
+        gh = g @ p["W"].T
+        h *= h
+        np.subtract(1, h, out=h)
+        gh *= h
+        mixed = both.T @ gh
+        grad |= {"O": mixed[:d], "S": mixed[d:], "b": ones @ gh}
+        # A softmax's gradient takes from each share's own the sum over all of them, which is go @ o: a last column beside the ones of v.
+        go = np.empty((n * STRIDE, d + 1), kind)
+        np.divide(gh @ p["O"].T, total, out=go[:, :d])
+        np.negative(np.einsum("ij,ij->i", go[:, :d], both[:, :d]), out=go[:, d])
+        go = go.reshape(n, STRIDE, d + 1)
+        gs = np.matmul(go, v.transpose(0, 2, 1))
+        gs *= a
+        gv = np.matmul(a.transpose(0, 2, 1), go)[:, :, :d].reshape(-1, d)
+        gq = np.matmul(gs, k).reshape(-1, d)
+        gq *= np.float32(d**-0.5)
+        gk = np.matmul(gs.transpose(0, 2, 1), q).reshape(-1, d)
+        grad |= {"Q": both[:, d:].T @ gq, "K": flat.T @ gk, "V": flat.T @ gv}
+        gx = gk @ p["K"].T
+        gx += gv @ p["V"].T
+        own = gh @ p["S"].T
+        own += gq @ p["Q"].T
+        gx.reshape(n, LENGTH, d)[:, CONTEXT:] += own.reshape(n, STRIDE, d)
+        grad["P"] = (np.ones(n, kind) @ gx.reshape(n, -1)).reshape(LENGTH, d)
         grad["E"] = np.zeros_like(p["E"])
-        order = np.argsort(inputs.ravel(), kind="stable")
-        own = inputs.ravel()[order]
-        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        grad["E"][own[heads]] = np.add.reduceat(gx.reshape(-1, d)[order], heads)
+        # Inputs are few: numbers of 16 bits are sorted by their digits.
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
+        named = inputs.ravel()[order]
+        heads = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+        grad["E"][named[heads]] = np.add.reduceat(gx[order], heads)
         return loss, grad
 
     def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED, least: float = 0.1, once: bool = False) -> ClassModel:
@@ -343,9 +350,18 @@ class ClassModel:
             now = rate * min(1, t / 30) * (least + (1 - least) * (1 - t / steps))
             for k, g in grad.items():
                 a, b = m[k]
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                self.p[k] -= now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
+                a *= np.float32(0.9)
+                a += np.float32(0.1) * g
+                b *= np.float32(0.99)
+                g *= g
+                g *= np.float32(0.01)
+                b += g
+                np.sqrt(b, out=g)
+                g *= np.float32((1 - 0.99**t) ** -0.5)
+                g += np.float32(1e-8)
+                np.divide(a, g, out=g)
+                g *= np.float32(now / (1 - 0.9**t))
+                self.p[k] -= g
         return self
 
     def packed(self) -> bytes:
@@ -442,10 +458,17 @@ def _some_windows(rate: float):
     return run
 
 
+def packed_rows(column: pa.Array) -> np.ndarray:
+    """(n, LENGTH + 1) ids of windows as _some_windows() writes them, a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.binary() else np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), "<u2").reshape(-1, LENGTH + 1)
+
+
 def _trainers(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(trainer, window), a trainer's rows together, to (trainer, weights, n) of each trainer, after one pass over its windows."""
-        name, held, n, model = None, [], 0, None
+        name, held, n, kept, model = None, [], 0, 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if name is not None:
@@ -453,21 +476,27 @@ def _trainers(shared):
                 yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([model.packed()], pa.binary()), pa.array([n])], ["trainer", "weights", "n"])
 
         def learn() -> None:
-            rows = np.frombuffer(b"".join(held), "<u2").reshape(-1, LENGTH + 1).astype(np.int32)
+            nonlocal kept
+            rows = np.concatenate(held or [np.zeros((0, LENGTH + 1), "<u2")]).astype(np.int32)
             model.fit(rows, -(-len(rows) // BATCH), TRAINER_RATE, SEED + n, 0.3, once=True)
             held.clear()
+            kept = 0
 
         for batch in batches:
-            for trainer, window in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                if trainer != name:
+            trainers, windows = np.array(batch.column(0)), packed_rows(batch.column(1))
+            for at in np.split(np.arange(len(trainers)), np.flatnonzero(np.diff(trainers)) + 1) if len(trainers) else ():
+                if trainers[at[0]] != name:
                     yield from done()
-                    name, n, model = trainer, 0, copy.copy(shared.value)
+                    name, n, kept, model = int(trainers[at[0]]), 0, 0, copy.copy(shared.value)
                     model.p = {k: v.copy() for k, v in model.p.items()}
                     held.clear()
-                held.append(window)
-                n += 1
-                if len(held) >= 4 * TRAINER_WINDOWS:
-                    learn()
+                rows = windows[at[0] : at[-1] + 1]
+                while len(rows):
+                    part, rows = rows[: 4 * TRAINER_WINDOWS - kept], rows[4 * TRAINER_WINDOWS - kept :]
+                    held.append(part)
+                    n, kept = n + len(part), kept + len(part)
+                    if kept >= 4 * TRAINER_WINDOWS:
+                        learn()
         yield from done()
 
     return run

@@ -776,3 +776,35 @@ def test_trainers_run_side_by_side(spark, monkeypatch):
 def test_lost_lines_meet_texts_by_a_merge_join_at_any_size(spark):
     d = spark.createDataFrame([(i, "a line that is long enough to count as one of its own\nx") for i in range(8)], "doc_id long, text string")
     assert "strategy=merge" in linededup.line_report(d)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_trainers_read_windows_by_column():
+    r = np.random.default_rng(3)
+    windows = r.integers(0, 300, (700, lm.LENGTH + 1)).astype("<u2")
+    rows = [w.tobytes() for w in windows]
+    for kind in (pa.binary(), pa.large_binary()):
+        assert (lm.packed_rows(pa.array(rows, kind).slice(5, 90)) == windows[5:95]).all() and lm.packed_rows(pa.array([], kind)).shape == (0, lm.LENGTH + 1)
+
+    class Shared:
+        value = lm.ClassModel(np.ones(lm.IDS + 1, np.int64), classes=4)
+
+    column = lambda a, b: pa.RecordBatch.from_arrays([pa.array([3] * 400 + [8] * 300, pa.int64()).slice(a, b - a), pa.array(rows, pa.binary()).slice(a, b - a)], ["trainer", "window"])
+    one = [x.to_pylist()[0] for x in lm._trainers(Shared)(iter([column(0, 700)]))]
+    cut_up = [x.to_pylist()[0] for x in lm._trainers(Shared)(iter([column(0, 250), column(250, 250), column(250, 420), column(420, 700)]))]
+    assert one == cut_up and [(x["trainer"], x["n"]) for x in one] == [(3, 400), (8, 300)] and one[0]["weights"] != one[1]["weights"]
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_training_step_equals_plain_softmax(scale):
+    """The loss is that of the probabilities that score texts, and where exp() would pass single precision gradients stay finite."""
+    r = np.random.default_rng(6)
+    m = lm.ClassModel(r.integers(0, 50, lm.IDS + 1))
+    for k in ("Q", "K", "W"):
+        m.p[k] *= scale
+    w, _ = lm.windows_of([r.integers(0, 5000, 400)])
+    x, goal = m.input_of[w[:, :-1]], w[:, lm.CONTEXT + 1 :]
+    real = np.concatenate((np.ones((len(w), 1), bool), goal[:, :-1] != lm.END), axis=1)
+    loss, grad = m.step(x, goal, real)
+    last, own = np.minimum(x[:, lm.CONTEXT :], m.frequent), m.rank[goal]
+    of_class = m.log_probabilities(x, goal) - m.after[last, own] - m.within[goal]
+    assert loss == pytest.approx(-of_class[real].mean(), abs=1e-3 * scale) and all(np.isfinite(g).all() for g in grad.values())
