@@ -19,6 +19,7 @@ smaller id. Empty tables: no rows. Other columns, of any name, are ignored."""
 from __future__ import annotations
 
 import copy
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ CONTEXT, STRIDE, CLASSES, WIDTH, HIDDEN = 8, 24, 40, 16, 32
 WINDOWS, STEPS, BATCH, RATE, SEED = 8192, 800, 192, 0.006, 7
 #: The share of all training windows that trainers learn from (1: every one), their rate, windows for each trainer and the most trainers.
 SHARE, TRAINER_RATE, TRAINER_WINDOWS, MOST_TRAINERS = 1.0, 0.002, 8192, 512
+#: Windows that are dealt out to trainers at once, in a row for each that gets some.
+DEAL = 16_384
 IDS, FREQUENT, FREQUENT_IDS = 50_257, 1 << 18, 2_048
 #: Ids, the most frequent, that count as neighbours, and what is taken off each count of a pair.
 NEAR, DISCOUNT = 384, 0.6
@@ -210,6 +213,17 @@ def classes_of(counts: np.ndarray, seen: np.ndarray, classes: int = CLASSES, see
     return near_to
 
 
+_rooms: dict[tuple, np.ndarray] = {}
+
+
+def room(name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+    """An array to be filled, in memory that the next call of this name uses again: large arrays made and freed at each step cost more in page faults than the sums in them."""
+    size = math.prod(shape)
+    if (held := _rooms.get((name, kind))) is None or held.size < size:
+        held = _rooms[name, kind] = np.empty(size, kind)
+    return held[:size].reshape(shape)
+
+
 class ClassModel:
     """P(next id | the window so far): shares after the last id, weighted by classes, and the maps from ids to inputs and classes."""
 
@@ -236,40 +250,46 @@ class ClassModel:
         causal = np.arange(LENGTH)[None, :] <= np.arange(CONTEXT, LENGTH)[:, None]
         self.mask, self.causal = np.where(causal, 0, -1e9).astype(np.float32), causal.astype(np.float32)
 
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """(what q @ k.T is between two inputs, what an input that attention finds brings to the hidden layer): of Q and K, and of V and O, only the products tell."""
+        p = self.p
+        return (p["Q"] * np.float32(p["Q"].shape[0] ** -0.5)) @ p["K"].T, p["V"] @ p["O"]
+
     def attend(self, inputs: np.ndarray):
-        """inputs (n, LENGTH) of input numbers to the hidden layer (n * STRIDE, hidden) and what the gradients need."""
-        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], self.p["E"].dtype
-        x = p["E"][inputs]
-        x += p["P"]
-        flat = x.reshape(-1, d)
-        # What attention finds, and beside it the place's own input.
-        both = np.empty((n * STRIDE, 2 * d), kind)
-        both[:, d:].reshape(n, STRIDE, d)[:] = x[:, CONTEXT:]
-        q = (both[:, d:] @ (p["Q"] * np.float32(d**-0.5))).reshape(n, STRIDE, d)
-        k = (flat @ p["K"]).reshape(n, LENGTH, d)
+        """inputs (n, LENGTH) of input numbers to the hidden layer (n * STRIDE, hidden) and what the gradients need, until the next call."""
+        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
+        between, brought = self.products()
         # A last column of ones gives each row's sum with the same product.
-        v = np.ones((n, LENGTH, d + 1), kind)
-        v[:, :, :d] = (flat @ p["V"]).reshape(n, LENGTH, d)
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        if np.sqrt(np.einsum("ijk,ijk->ij", q, q).max(initial=0) * np.einsum("ijk,ijk->ij", k, k).max(initial=0)) > SAFE:
+        named, place = room("named", kind, len(p["E"]), d + 1), np.zeros((LENGTH, d + 1), kind)
+        named[:, :d], named[:, d], place[:, :d] = p["E"], 1, p["P"]
+        x = named.take(inputs, axis=0, out=room("x", kind, n, LENGTH, d + 1), mode="clip")
+        x += place
+        # What attention finds, a one, and the place's own input.
+        both = room("both", kind, n, STRIDE, 2 * d + 1)
+        both[:, :, d + 1 :] = x[:, CONTEXT:, :d]
+        flat = both.reshape(n * STRIDE, 2 * d + 1)
+        q = np.matmul(flat[:, d + 1 :], between, out=room("q", kind, n * STRIDE, d)).reshape(n, STRIDE, d)
+        a = np.matmul(q, x[:, :, :d].transpose(0, 2, 1), out=room("a", kind, n, STRIDE, LENGTH))
+        if max(a.max(initial=0), -a.min(initial=0)) > SAFE:
             a -= (a + self.mask).max(axis=2, keepdims=True)
             np.minimum(a, SAFE, out=a)
         np.exp(a, out=a)
         a *= self.causal
-        o = np.matmul(a, v).reshape(-1, d + 1)
-        total = o[:, d:]
-        np.divide(o[:, :d], total, out=both[:, :d])
-        h = both @ np.concatenate((p["O"], p["S"]))
-        h += p["b"]
+        o = np.matmul(a, x, out=room("o", kind, n, STRIDE, d + 1))
+        total = o[:, :, d:]
+        np.divide(o, total, out=both[:, :, : d + 1])
+        h = np.matmul(flat, np.concatenate((brought, p["b"][None], p["S"])), out=room("h", kind, n * STRIDE, len(p["b"])))
         np.tanh(h, out=h)
-        return h, (flat, both, q, k, v, a, total)
+        return h, (flat, x, q, a, total, between, brought)
 
     def forward(self, inputs: np.ndarray):
-        """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes) and what the gradients need."""
+        """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes) and what the gradients need, until the next call."""
         h, kept = self.attend(inputs)
-        logits = h @ self.p["W"]
-        logits += self.p["c"]
-        logits += self.class_after[np.minimum(inputs[:, CONTEXT:], self.frequent).ravel()]
+        size = len(h), len(self.p["c"])
+        logits = np.matmul(h, self.p["W"], out=room("logits", np.dtype(h.dtype.type), *size))
+        kind = np.dtype(np.result_type(self.class_after, self.p["c"]).type)
+        before = np.add(self.class_after, self.p["c"], out=room("classes", kind, *self.class_after.shape))
+        logits += before.take(np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), axis=0, out=room("before", kind, *size), mode="clip")
         return logits, (h, *kept)
 
     def lower(self, logits: np.ndarray) -> None:
@@ -289,8 +309,9 @@ class ClassModel:
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over real targets, and its gradients."""
-        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], self.p["E"].dtype
-        logits, (h, flat, both, q, k, v, a, total) = self.forward(inputs)
+        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
+        logits, (h, both, x, q, a, total, between, brought) = self.forward(inputs)
+        hidden = h.shape[1]
         self.lower(logits)
         goal, w = self.class_of[self.rank[targets.ravel()]], real.ravel().astype(kind)
         w /= max(w.sum(), 1)
@@ -302,36 +323,31 @@ class ClassModel:
         g *= (w / mass)[:, None]
         g[at, goal] -= w
         grad = {"W": h.T @ g, "c": ones @ g}
-        gh = g @ p["W"].T
+        # Gradients of the hidden layer's sums and, behind them, of q.
+        back = room("back", kind, n, STRIDE, hidden + d)
+        flat = back.reshape(n * STRIDE, hidden + d)
+        gh = np.matmul(g, p["W"].T, out=room("gh", kind, n * STRIDE, hidden))
         h *= h
         np.subtract(1, h, out=h)
-        gh *= h
-        mixed = both.T @ gh
-        grad |= {"O": mixed[:d], "S": mixed[d:], "b": ones @ gh}
-        # A softmax's gradient takes from each share's own the sum over all of them, which is go @ o: a last column beside the ones of v.
-        go = np.empty((n * STRIDE, d + 1), kind)
-        np.divide(gh @ p["O"].T, total, out=go[:, :d])
-        np.negative(np.einsum("ij,ij->i", go[:, :d], both[:, :d]), out=go[:, d])
-        go = go.reshape(n, STRIDE, d + 1)
-        gs = np.matmul(go, v.transpose(0, 2, 1))
+        np.multiply(gh, h, out=flat[:, :hidden])
+        # A softmax's gradient takes from each share's own the sum over all of them, which is go @ o: a last column beside the ones of x.
+        go = room("go", kind, n, STRIDE, d + 1)
+        np.divide(np.matmul(flat[:, :hidden], brought.T, out=room("go whole", kind, n * STRIDE, d)).reshape(n, STRIDE, d), total, out=go[:, :, :d])
+        np.negative(np.einsum("ij,ij->i", go.reshape(-1, d + 1)[:, :d], both[:, :d]), out=go.reshape(-1, d + 1)[:, d])
+        gs = np.matmul(go, x.transpose(0, 2, 1), out=room("gs", kind, n, STRIDE, LENGTH))
         gs *= a
-        gv = np.matmul(a.transpose(0, 2, 1), go)[:, :, :d].reshape(-1, d)
-        gq = np.matmul(gs, k).reshape(-1, d)
-        gq *= np.float32(d**-0.5)
-        gk = np.matmul(gs.transpose(0, 2, 1), q).reshape(-1, d)
-        grad |= {"Q": both[:, d:].T @ gq, "K": flat.T @ gk, "V": flat.T @ gv}
-        gx = gk @ p["K"].T
-        gx += gv @ p["V"].T
-        own = gh @ p["S"].T
-        own += gq @ p["Q"].T
-        gx.reshape(n, LENGTH, d)[:, CONTEXT:] += own.reshape(n, STRIDE, d)
+        np.matmul(gs, x[:, :, :d], out=back[:, :, hidden:])
+        mixed = both.T @ flat
+        found, asked = mixed[:d, :hidden], mixed[d + 1 :, hidden:] * np.float32(d**-0.5)
+        grad |= {"b": mixed[d, :hidden], "S": mixed[d + 1 :, :hidden], "V": found @ p["O"].T, "O": p["V"].T @ found, "Q": asked @ p["K"], "K": asked.T @ p["Q"]}
+        gx = np.matmul(gs.transpose(0, 2, 1), q, out=room("gx", kind, n, LENGTH, d))
+        gx += np.matmul(a.transpose(0, 2, 1), go[:, :, :d], out=room("gx found", kind, n, LENGTH, d))
+        gx[:, CONTEXT:] += np.matmul(flat, np.concatenate((p["S"].T, between.T)), out=room("gx own", kind, n * STRIDE, d)).reshape(n, STRIDE, d)
         grad["P"] = (np.ones(n, kind) @ gx.reshape(n, -1)).reshape(LENGTH, d)
-        grad["E"] = np.zeros_like(p["E"])
-        # Inputs are few: numbers of 16 bits are sorted by their digits.
-        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
-        named = inputs.ravel()[order]
-        heads = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
-        grad["E"][named[heads]] = np.add.reduceat(gx[order], heads)
+        cells = np.add(inputs.reshape(-1, 1) * d, np.arange(d), out=room("cells", np.dtype(np.int64), n * LENGTH, d))
+        # Of one dtype object, which a pickled array's is not: add.at() takes many times as long otherwise.
+        grad["E"] = np.zeros(p["E"].shape, kind)
+        np.add.at(grad["E"].reshape(-1), cells.reshape(-1), gx.reshape(-1))
         return loss, grad
 
     def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED, least: float = 0.1, once: bool = False) -> ClassModel:
@@ -340,7 +356,12 @@ class ClassModel:
             return self
         r = np.random.default_rng(seed)
         parts = np.array_split(r.permutation(len(windows)), steps) if once else None
-        m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
+        # All weights lie in one array, in which self.p names places.
+        flat = np.concatenate([v.ravel() for v in self.p.values()])
+        a, b, g, tenth = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+        ends = np.cumsum([v.size for v in self.p.values()])
+        places = lambda whole: {k: x.reshape(v.shape) for (k, v), x in zip(self.p.items(), np.split(whole, ends[:-1]))}
+        into, self.p = places(g), places(flat)
         for t in range(1, steps + 1):
             pick = windows[parts[t - 1] if once else r.integers(0, len(windows), BATCH)]
             # Windows at a text's end hold END over and over; only the first counts.
@@ -348,20 +369,20 @@ class ClassModel:
             real = np.concatenate((np.ones((len(pick), 1), bool), goal[:, :-1] != END), axis=1)
             _, grad = self.step(self.input_of[pick[:, :-1]], goal, real)
             now = rate * min(1, t / 30) * (least + (1 - least) * (1 - t / steps))
-            for k, g in grad.items():
-                a, b = m[k]
-                a *= np.float32(0.9)
-                a += np.float32(0.1) * g
-                b *= np.float32(0.99)
-                g *= g
-                g *= np.float32(0.01)
-                b += g
-                np.sqrt(b, out=g)
-                g *= np.float32((1 - 0.99**t) ** -0.5)
-                g += np.float32(1e-8)
-                np.divide(a, g, out=g)
-                g *= np.float32(now / (1 - 0.9**t))
-                self.p[k] -= g
+            for k, v in grad.items():
+                into[k][...] = v
+            a *= np.float32(0.9)
+            a += np.multiply(g, np.float32(0.1), out=tenth)
+            b *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            b += g
+            np.sqrt(b, out=g)
+            g *= np.float32((1 - 0.99**t) ** -0.5)
+            g += np.float32(1e-8)
+            np.divide(a, g, out=g)
+            g *= np.float32(now / (1 - 0.9**t))
+            flat -= g
         return self
 
     def packed(self) -> bytes:
@@ -458,17 +479,64 @@ def _some_windows(rate: float):
     return run
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.binary() else np.int64)[column.offset : column.offset + len(column) + 1]
+
+
+def packed_counts(column: pa.Array) -> np.ndarray:
+    """How many windows each row holds."""
+    return np.diff(_offsets(column)) // (2 * (LENGTH + 1)) if len(column) else np.zeros(0, np.int64)
+
+
 def packed_rows(column: pa.Array) -> np.ndarray:
-    """(n, LENGTH + 1) ids of windows as _some_windows() writes them, a copy."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.binary() else np.int64)[column.offset : column.offset + len(column) + 1]
+    """(n, LENGTH + 1) ids of windows as _some_windows() and _dealt() write them, a copy."""
+    offsets = _offsets(column)
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return np.frombuffer(data.tobytes(), "<u2").reshape(-1, LENGTH + 1)
 
 
+def window_hashes(rows: np.ndarray) -> np.ndarray:
+    """64 bits for each window, by its ids."""
+    odd = np.random.default_rng(LENGTH).integers(1, 2**63, LENGTH + 1, dtype=np.uint64) | np.uint64(1)
+    return mix(rows.astype(np.uint64) @ odd)
+
+
+DEALT = "trainer long, window binary, block long"
+
+
+def _dealt(some, trainers: int, blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k1, ids) to (trainer, window, block): the windows that some() names, dealt out by hash. A row holds all windows of a trainer's block among some DEAL."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rows, place = (np.concatenate([x[i] for x in held]) for i in range(2))
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            ends = np.append(heads, len(rows)).astype(np.int32) * rows.shape[1] * rows.itemsize
+            column = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows[order])])
+            return pa.RecordBatch.from_arrays([pa.array(place[heads] // blocks), column, pa.array(place[heads] % blocks)], ["trainer", "window", "block"])
+
+        for batch in some(batches):
+            rows = packed_rows(batch.column(1))
+            named = mix(window_hashes(rows) + np.array(batch.column(0), np.int64).view(np.uint64))
+            held.append((rows, (named % np.uint64(trainers * blocks)).astype(np.int64)))
+            size += len(rows)
+            if size >= DEAL:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
 def _trainers(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(trainer, window), a trainer's rows together, to (trainer, weights, n) of each trainer, after one pass over its windows."""
-        name, held, n, kept, model = None, [], 0, 0, None
+        """(trainer, window or several, block or none), a trainer's rows together and in them a block's, to (trainer, weights, n) of each trainer, after one pass over its windows."""
+        name, own, held, n, kept, model = None, None, [], 0, 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
             if name is not None:
@@ -477,25 +545,33 @@ def _trainers(shared):
 
         def learn() -> None:
             nonlocal kept
-            rows = np.concatenate(held or [np.zeros((0, LENGTH + 1), "<u2")]).astype(np.int32)
-            model.fit(rows, -(-len(rows) // BATCH), TRAINER_RATE, SEED + n, 0.3, once=True)
+            if held:
+                rows = np.concatenate(held)
+                # The order in which a block's rows come does not matter.
+                rows = rows[np.argsort(window_hashes(rows), kind="stable")].astype(np.int32)
+                model.fit(rows, -(-len(rows) // BATCH), TRAINER_RATE, SEED + n, 0.3, once=True)
             held.clear()
             kept = 0
 
         for batch in batches:
-            trainers, windows = np.array(batch.column(0)), packed_rows(batch.column(1))
-            for at in np.split(np.arange(len(trainers)), np.flatnonzero(np.diff(trainers)) + 1) if len(trainers) else ():
-                if trainers[at[0]] != name:
+            windows, ends = packed_rows(batch.column(1)), np.cumsum(packed_counts(batch.column(1)))
+            trainers, blocks = (np.array(batch.column(i)) if i < batch.num_columns else np.zeros(len(batch), np.int64) for i in (0, 2))
+            heads = np.flatnonzero((np.diff(trainers, prepend=-1) != 0) | (np.diff(blocks, prepend=-1) != 0))
+            for i, j in zip(heads, [*heads[1:], len(batch)]):
+                if trainers[i] != name:
                     yield from done()
-                    name, n, kept, model = int(trainers[at[0]]), 0, 0, copy.copy(shared.value)
+                    name, own, n, kept, model = int(trainers[i]), int(blocks[i]), 0, 0, copy.copy(shared.value)
                     model.p = {k: v.copy() for k, v in model.p.items()}
                     held.clear()
-                rows = windows[at[0] : at[-1] + 1]
+                elif blocks[i] != own:
+                    learn()
+                    own = int(blocks[i])
+                rows = windows[ends[i - 1] if i else 0 : ends[j - 1]]
                 while len(rows):
-                    part, rows = rows[: 4 * TRAINER_WINDOWS - kept], rows[4 * TRAINER_WINDOWS - kept :]
+                    part, rows = rows[: 8 * TRAINER_WINDOWS - kept], rows[8 * TRAINER_WINDOWS - kept :]
                     held.append(part)
                     n, kept = n + len(part), kept + len(part)
-                    if kept >= 4 * TRAINER_WINDOWS:
+                    if kept >= 8 * TRAINER_WINDOWS:
                         learn()
         yield from done()
 
@@ -535,7 +611,9 @@ def train(tokens: DataFrame, windows: int = WINDOWS, steps: int = STEPS) -> Clas
     trainers = max(1, min(MOST_TRAINERS, int(whole * SHARE) // TRAINER_WINDOWS)) if whole > len(rows) else 0
     if trainers:
         start = context.broadcast(model)
-        dealt = some(SHARE).select(F.pmod(F.xxhash64("k1", "window"), F.lit(trainers)).alias("trainer"), "window").repartition(trainers, "trainer").sortWithinPartitions("trainer", "window")
+        # About 4 * TRAINER_WINDOWS windows in a block, which a trainer holds at once.
+        blocks = -(-int(whole * SHARE) // (trainers * 4 * TRAINER_WINDOWS))
+        dealt = own.select("k1", "ids").mapInArrow(_dealt(_some_windows(SHARE), trainers, blocks), DEALT).repartition(trainers, "trainer").sortWithinPartitions("trainer", "block")
         # Written, so that all trainers run side by side: an iterator in the driver would run them one after the other.
         learnt = cut(dealt.mapInArrow(_trainers(start), "trainer long, weights binary, n long"))
         for r in learnt.repartition(1).sortWithinPartitions("trainer").mapInArrow(_mean, "mean binary").collect():

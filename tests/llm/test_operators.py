@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -808,3 +809,44 @@ def test_training_step_equals_plain_softmax(scale):
     last, own = np.minimum(x[:, lm.CONTEXT :], m.frequent), m.rank[goal]
     of_class = m.log_probabilities(x, goal) - m.after[last, own] - m.within[goal]
     assert loss == pytest.approx(-of_class[real].mean(), abs=1e-3 * scale) and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_dealt_rows_hold_every_window_once():
+    ids = [np.arange(i, i + n, dtype="<u2") for i, n in enumerate((0, 1, 24, 500, *[70] * 90))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids))), pa.array([x.tobytes() for x in ids], pa.binary())], ["k1", "ids"])
+    windows = lm.windows_of(ids)[0].astype("<u2")
+
+    def dealt(batches):
+        rows = [r for out in lm._dealt(lm._some_windows(1.0), 3, 2)(iter(batches)) for r in out.to_pylist()]
+        assert all(len(r["window"]) % (2 * (lm.LENGTH + 1)) == 0 for r in rows)
+        return rows, sorted((r["trainer"], r["block"], r["window"][a : a + 2 * (lm.LENGTH + 1)]) for r in rows for a in range(0, len(r["window"]), 2 * (lm.LENGTH + 1)))
+
+    rows, one = dealt([batch])
+    # A row for each trainer's block, whatever the number of windows; where a window goes does not depend on its batch.
+    assert len(rows) == 6 and sorted(w for _, _, w in one) == sorted(w.tobytes() for w in windows)
+    assert dealt([batch.slice(50), batch.slice(0, 50)])[1] == one
+
+    class Shared:
+        value = lm.ClassModel(np.ones(lm.IDS + 1, np.int64), classes=4)
+
+    rows.sort(key=lambda r: (r["trainer"], r["block"]))
+    column = lambda names: [pa.RecordBatch.from_arrays([pa.array([r[n] for r in names], kind) for n, kind in (("trainer", pa.int64()), ("window", pa.binary()), ("block", pa.int64()))], ["trainer", "window", "block"])]
+    whole = [x.to_pylist()[0] for x in lm._trainers(Shared)(iter(column(rows)))]
+    halves = [{**r, "window": part} for r in rows for k in [len(r["window"]) // 132 * 66] for part in (r["window"][k:], r["window"][:k])]
+    # In what order a block's rows come does not matter.
+    assert [x.to_pylist()[0] for x in lm._trainers(Shared)(iter(column(halves)))] == whole and sum(x["n"] for x in whole) == len(windows)
+
+
+def test_training_step_of_an_unpickled_model():
+    """Arrays that were pickled have a dtype object of their own, with which sums by index take many times as long; steps leave no trace in the arrays they share."""
+    r = np.random.default_rng(2)
+    m = pickle.loads(pickle.dumps(lm.ClassModel(r.integers(0, 50, lm.IDS + 1))))
+    w, _ = lm.windows_of([r.integers(0, 900, 400)])
+    x, goal = m.input_of[w[:, :-1]], w[:, lm.CONTEXT + 1 :]
+    real = np.ones(goal.shape, bool)
+    loss, grad = m.step(x, goal, real)
+    assert grad["E"].dtype is np.dtype(np.float32)
+    kept = {k: v.copy() for k, v in grad.items()}
+    few = m.log_probabilities(x[:3], goal[:3])
+    m.step(x[5:], goal[5:], real[5:])
+    assert all((kept[k] == grad[k]).all() for k in kept) and np.abs(m.log_probabilities(x, goal)[:3] - few).max() < 1e-4 and m.step(x, goal, real)[0] == loss
