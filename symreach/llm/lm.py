@@ -21,9 +21,11 @@ from __future__ import annotations
 import copy
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ CONTEXT, STRIDE, CLASSES, WIDTH, HIDDEN = 8, 24, 40, 16, 32
 WINDOWS, STEPS, BATCH, RATE, SEED = 8192, 800, 192, 0.006, 7
 #: The share of all training windows that trainers learn from (1: every one), their rate, windows for each trainer and the most trainers.
 SHARE, TRAINER_RATE, TRAINER_WINDOWS, MOST_TRAINERS = 1.0, 0.002, 8192, 512
+#: Words are counted in 2 ** RANGE_BITS ranges of their hashes; texts are looked up in groups of so many bytes.
+RANGE_BITS, GROUP_BYTES = 9, 16 << 20
 #: Windows that are dealt out to trainers at once, in a row for each that gets some.
 DEAL = 16_384
 IDS, FREQUENT, FREQUENT_IDS = 50_257, 1 << 18, 2_048
@@ -76,14 +80,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 # --- the base -----------------------------------------------------------------------------------------------
 
+def _runs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column: the bytes of values[bounds[i] : bounds[i + 1]] for each i."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _range_bounds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of sorted words that are not empty, and where each begins, with the end behind."""
+    bounds = np.searchsorted(words, np.arange(1, 1 << RANGE_BITS, dtype=np.uint64) << np.uint64(64 - RANGE_BITS))
+    bounds = np.concatenate(([0], bounds, [len(words)]))
+    full = np.flatnonzero(np.diff(bounds))
+    return full, np.append(bounds[full], len(words))
+
+
+COUNTS = "range long, words binary, n binary"
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text to (word, n), summed over about 32 MB of text at a time."""
+    """text to COUNTS: for each range its words, sorted, and their numbers, summed over about 32 MB of text at a time."""
     held: list[np.ndarray] = []
     size = 0
 
     def out() -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+        full, bounds = _range_bounds(values)
+        return pa.RecordBatch.from_arrays([pa.array(full), _runs(values, bounds), _runs(n.astype(np.int64), bounds)], ["range", "words", "n"])
 
     for batch in batches:
         for _, _, data, offsets in text_slices(batch.column(0)):
@@ -96,20 +117,68 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-PARTS = "k1 long, k2 long, part double, known long, n long, lone boolean, word long, times long"
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for a in range(0, len(batch), 64):
+            yield from zip(*(batch.column(i).slice(a, 64).to_pylist() for i in range(batch.num_columns)))
 
 
-def _base_parts(shared, n_all: int, n_kinds: int):
-    """For each text one row (lone) with its number of words and the sum over the frequent ones, and one row for each other word.
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COUNTS by range to COUNTS, one row for each range."""
+    for name, rows in groupby(_rows(batches), lambda r: r[0]):
+        words, n = zip(*(r[1:] for r in rows))
+        words, n = np.frombuffer(b"".join(words), np.uint64), np.frombuffer(b"".join(n), np.int64)
+        order = np.argsort(words, kind="stable")
+        words, n = words[order], n[order]
+        heads = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([words[heads].tobytes()], pa.binary()), pa.array([np.add.reduceat(n, heads).tobytes()], pa.binary())], ["range", "words", "n"])
+
+
+def _count_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n to (times, kinds): how many words stand so often."""
+    for (n,) in _rows(batches):
+        times, kinds = np.unique(np.frombuffer(n, np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(times), pa.array(kinds)], ["times", "kinds"])
+
+
+def _at_least(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(words, n) to those words that stand `least` times or more."""
+        for words, n in _rows(batches):
+            n = np.frombuffer(n, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, np.int64)[n >= least].tobytes()], pa.binary()) for x in (words, n.tobytes())], ["words", "n"])
+
+    return run
+
 
-    A lone row's word is the text's key, so that those rows spread over the join's tasks; what they find there is not used."""
+#: A lone row holds a group's texts: their keys (a, b), sums over frequent words (c), known words (d) and numbers of words (e). Others hold, for a range, places in the group (a), words (b) and how often each stands there (c).
+PARTS = "range long, texts long, lone boolean, a binary, b binary, c binary, d binary, e binary"
+PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+
+
+def _base_parts(shared, n_all: int, n_kinds: int):
+    """(k1, k2, text) to PARTS: for each group of texts, of about GROUP_BYTES, a lone row and a row for each range of the words that are not frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, end = shared.value
         logs = np.log10((counts + 1) / (n_all + n_kinds + 1))
         end_part = np.log10((end + 1) / (n_all + n_kinds + 1))
+        lone: list[tuple] = []
+        rare: list[tuple] = []
+        size, texts, group = 0, 0, TaskContext.get().partitionId() << 32
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own = [np.concatenate(x) for x in zip(*lone)]
+            yield pa.RecordBatch.from_arrays([pa.array([group % (1 << RANGE_BITS)]), pa.array([group]), pa.array([True]), *(pa.array([x.tobytes()], pa.binary()) for x in own)], PART_NAMES)
+            at, word, times = (np.concatenate(x) for x in zip(*rare))
+            order = np.argsort(word, kind="stable")
+            full, bounds = _range_bounds(word[order])
+            if len(full):
+                none = pa.nulls(len(full), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([group] * len(full)), pa.array([False] * len(full)), *(_runs(x[order], bounds) for x in (at, word, times)), none, none], PART_NAMES)
+
         for batch in batches:
-            heads = [np.array(batch.column(i)) for i in range(2)]
+            heads = [np.array(batch.column(i), np.int64) for i in range(2)]
             for a, b, data, offsets in text_slices(batch.column(2)):
                 own, bounds = word_hashes(data, offsets)
                 row = np.repeat(np.arange(b - a), np.diff(bounds))
@@ -117,53 +186,89 @@ def _base_parts(shared, n_all: int, n_kinds: int):
                 hit = words[at] == own if len(words) else np.zeros(len(own), bool)
                 part = np.bincount(row[hit], logs[at[hit]], b - a) + end_part
                 known = np.bincount(row[hit], minlength=b - a) + (end > 0)
+                lone.append((heads[0][a:b], heads[1][a:b], part, known.astype(np.int64), (np.diff(bounds) + 1).astype(np.int64)))
                 rest, own = row[~hit], own[~hit]
                 order = np.lexsort((own, rest))
                 rest, own = rest[order], own[order]
                 new = np.ones(len(own), bool)
                 new[1:] = (rest[1:] != rest[:-1]) | (own[1:] != own[:-1])
                 first = np.flatnonzero(new)
-                times = np.diff(np.concatenate((first, [len(own)])))
-                rest, own = rest[first], own[first]
-                rows = np.concatenate((np.arange(b - a), rest)) + a
-                k, m = b - a, len(rest)
-                lone = np.arange(k + m) < k
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(heads[0][rows]),
-                        pa.array(heads[1][rows]),
-                        pa.array(np.concatenate((part, np.zeros(m)))),
-                        pa.array(np.concatenate((known, np.zeros(m, np.int64))).astype(np.int64)),
-                        pa.array(np.concatenate((np.diff(bounds) + 1, np.zeros(m, np.int64))).astype(np.int64)),
-                        pa.array(lone),
-                        pa.array(np.concatenate((heads[0][a:b], own.view(np.int64)))),
-                        pa.array(np.concatenate((np.ones(k, np.int64), times)).astype(np.int64)),
-                    ],
-                    ["k1", "k2", "part", "known", "n", "lone", "word", "times"],
-                )
+                rare.append(((rest[first] + texts).astype(np.int32), own[first], np.diff(np.append(first, len(own))).astype(np.int32)))
+                size, texts = size + len(data), texts + b - a
+                if size >= GROUP_BYTES:
+                    yield from out()
+                    lone, rare, size, texts, group = [], [], 0, 0, group + 1
+        if lone:
+            yield from out()
+
+    return run
+
+
+def _look_up(n_all: int, n_kinds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """PARTS by range, behind each range's counts (texts -1, words in b and their numbers in c), to PARTS without words: sums over them (b) and known ones (c) at places (a)."""
+        name, words, counts, held = None, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        kinds = pa.int64(), pa.int64(), pa.bool_(), *[pa.binary()] * 5
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*held), kinds)], PART_NAMES)
+        for row in _rows(batches):
+            if row[0] != name:
+                name, words, counts = row[0], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if row[1] == -1:
+                words, counts = np.frombuffer(row[4], np.uint64), np.frombuffer(row[5], np.int64)
+                continue
+            if not row[2]:
+                at, own, times = (np.frombuffer(x, kind) for x, kind in zip(row[3:6], (np.int32, np.uint64, np.int32)))
+                place = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
+                found = np.where(words[place] == own, counts[place], 0) if len(words) else np.zeros(len(own), np.int64)
+                log, known = times * np.log10((found + 1) / (n_all + n_kinds + 1)), np.where(found > 0, times, 0).astype(np.int64)
+                row = (*row[:4], log.tobytes(), known.tobytes(), None, None)
+            held.append(row)
+            if len(held) == 64:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     return run
 
 
+SUMS = "k1 long, k2 long, base_score double, n_known long, n_tokens long"
+
+
+def _base_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _look_up(), a group's together, its lone row first, to SUMS of its texts."""
+    for _, rows in groupby(_rows(batches), lambda r: r[1]):
+        first = next(rows)
+        k1, k2, score, known, n = (np.frombuffer(x, kind).copy() for x, kind in zip(first[3:], (np.int64, np.int64, float, np.int64, np.int64)))
+        for r in rows:
+            at = np.frombuffer(r[3], np.int32).astype(np.int64)
+            np.add.at(score, at, np.frombuffer(r[4]))
+            np.add.at(known, at, np.frombuffer(r[5], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, score, known, n)], [x.split()[0] for x in SUMS.split(", ")])
+
+
 def base_scores(keyed: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """k1, k2 (distinct), base_score, n_known, n_tokens, train_tokens."""
-    counts = cut(keyed.where("learnt").select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    """k1, k2 (distinct), base_score, n_known, n_tokens, train_tokens.
+
+    Words are counted, and what is not frequent is looked up, in 2 ** RANGE_BITS ranges of their hashes. Rows hold many words each, so that
+    the shuffles cost by bytes and not by words."""
+    counts = cut(keyed.where("learnt").select("text").mapInArrow(_word_counts, COUNTS).repartition("range").sortWithinPartitions("range").mapInArrow(_sum_counts, COUNTS))
+    spread = counts.select("n").mapInArrow(_count_kinds, "times long, kinds long").groupBy("times").agg(F.sum("kinds").alias("kinds")).orderBy(F.desc("times")).toArrow()
+    times, kinds = (np.array(spread[c], np.int64) for c in ("times", "kinds"))
     end = keyed.where("learnt").count()
-    n_all, n_kinds = total + end, kinds + (end > 0)
-    # The bound of what is broadcast: `frequent` rows. Words beyond it are joined.
-    top = counts.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    words, n = np.array(top["word"], np.int64).view(np.uint64), np.array(top["n"], np.int64)
+    n_all, n_kinds = int((times * kinds).sum()) + end, int(kinds.sum()) + (end > 0)
+    # The bound of what is broadcast: `frequent` words, those that stand so often that no more do. The others are looked up by range.
+    fit = int((np.cumsum(kinds) <= frequent).sum())
+    top = counts.select("words", "n").mapInArrow(_at_least(int(times[fit - 1])), "words binary, n binary").toArrow() if fit else None
+    words, n = (np.frombuffer(b"".join(top[c].to_pylist()) if top else b"", kind) for c, kind in (("words", np.uint64), ("n", np.int64)))
     order = np.argsort(words)
     shared = keyed.sparkSession.sparkContext.broadcast((words[order], n[order], end))
-    parts = keyed.select("k1", "k2", "text").mapInArrow(_base_parts(shared, n_all, n_kinds), PARTS)
-    found = parts.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    log = F.when(F.col("lone"), F.col("part")).otherwise(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n_all + n_kinds + 1))))
-    known = F.when(F.col("lone"), F.col("known")).when(F.col("c") > 0, F.col("times")).otherwise(0)
-    # Rows that are alike give the same parts, so the sums are shared out by their number.
-    rows = F.count_if("lone")
-    out = found.groupBy("k1", "k2").agg((F.sum(log) / rows).alias("base_score"), F.floor(F.sum(known) / rows).cast("long").alias("n_known"), F.max("n").alias("n_tokens"))
-    return out.withColumn("train_tokens", F.lit(n_all).cast("long"))
+    none = F.lit(None).cast("binary")
+    known = counts.select("range", F.lit(-1).cast("long").alias("texts"), F.lit(False).alias("lone"), none.alias("a"), F.col("words").alias("b"), F.col("n").alias("c"), none.alias("d"), none.alias("e"))
+    parts = keyed.select("k1", "k2", "text").mapInArrow(_base_parts(shared, n_all, n_kinds), PARTS).unionByName(known).repartition("range").sortWithinPartitions("range", "texts")
+    found = parts.mapInArrow(_look_up(n_all, n_kinds), PARTS).repartition("texts").sortWithinPartitions("texts", F.desc("lone"), "range")
+    # Rows that are alike have the same sums.
+    return found.mapInArrow(_base_sums, SUMS).dropDuplicates(["k1", "k2"]).withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 
 # --- the model ----------------------------------------------------------------------------------------------
@@ -452,8 +557,8 @@ def _pairs(shared, frequent: int):
         first, last = np.array([START], "<u2").tobytes(), np.array([END], "<u2").tobytes()
         for batch in batches:
             column = batch.column(0)
-            for a in range(0, len(column), 500):
-                flat = np.frombuffer(b"".join(first + x + last for x in column.slice(a, 500).to_pylist()), "<u2")
+            for a in range(0, len(column), 2000):
+                flat = np.frombuffer(b"".join(first + x + last for x in column.slice(a, 2000).to_pylist()), "<u2")
                 total += pairs_of(shared.value, flat, frequent)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
