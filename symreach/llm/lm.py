@@ -40,6 +40,8 @@ WINDOWS, STEPS, BATCH, RATE, SEED = 8192, 800, 192, 0.006, 7
 SHARE, TRAINER_RATE, TRAINER_WINDOWS, MOST_TRAINERS = 1.0, 0.002, 8192, 512
 #: Words are counted in 2 ** RANGE_BITS ranges of their hashes; texts are looked up in groups of so many bytes.
 RANGE_BITS, GROUP_BYTES = 9, 16 << 20
+#: Texts whose words are looked up at once, in bytes.
+TOKEN_BYTES = 4 << 20
 #: Windows that are dealt out to trainers at once, in a row for each that gets some.
 DEAL = 16_384
 IDS, FREQUENT, FREQUENT_IDS = 50_257, 1 << 18, 2_048
@@ -61,12 +63,10 @@ def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
+            for a, b, data, offsets in text_slices(batch.column(5), TOKEN_BYTES):
                 # Bytes' lower() changes A-Z alone.
-                texts = [t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in part.column(5).to_pylist()]
-                ids = [(np.frombuffer(tok.ids(t), "<u4") if t else np.zeros(0, np.uint32)).astype(np.uint16).tobytes() for t in texts]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(ids, pa.binary())], ["doc_id", "held_out", "learnt", "k1", "k2", "ids"])
+                ids, bounds = tok.column(np.frombuffer(data.tobytes().lower(), np.uint8), offsets)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(5)), _runs(ids.astype("<u2"), bounds)], ["doc_id", "held_out", "learnt", "k1", "k2", "ids"])
 
     return run
 
@@ -156,6 +156,24 @@ PARTS = "range long, texts long, lone boolean, a binary, b binary, c binary, d b
 PART_NAMES = [x.split()[0] for x in PARTS.split(", ")]
 
 
+class Places:
+    """np.searchsorted(words, ...) for sorted hashes: a table by their first bits leaves a few steps for each."""
+
+    def __init__(self, words: np.ndarray):
+        bits = min(20, len(words).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.heads = np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.words = np.append(words, np.uint64(2**64 - 1))
+
+    def of(self, own: np.ndarray) -> np.ndarray:
+        at = self.heads[(own >> self.shift).astype(np.int64)]
+        more = np.flatnonzero(self.words[at] < own)
+        while len(more):
+            at[more] += 1
+            more = more[self.words[at[more]] < own[more]]
+        return at
+
+
 def _base_parts(shared, n_all: int, n_kinds: int):
     """(k1, k2, text) to PARTS: for each group of texts, of about GROUP_BYTES, a lone row and a row for each range of the words that are not frequent."""
 
@@ -163,6 +181,7 @@ def _base_parts(shared, n_all: int, n_kinds: int):
         words, counts, end = shared.value
         logs = np.log10((counts + 1) / (n_all + n_kinds + 1))
         end_part = np.log10((end + 1) / (n_all + n_kinds + 1))
+        places = Places(words)
         lone: list[tuple] = []
         rare: list[tuple] = []
         size, texts, group = 0, 0, TaskContext.get().partitionId() << 32
@@ -182,7 +201,7 @@ def _base_parts(shared, n_all: int, n_kinds: int):
             for a, b, data, offsets in text_slices(batch.column(2)):
                 own, bounds = word_hashes(data, offsets)
                 row = np.repeat(np.arange(b - a), np.diff(bounds))
-                at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
+                at = np.minimum(places.of(own), max(len(words) - 1, 0))
                 hit = words[at] == own if len(words) else np.zeros(len(own), bool)
                 part = np.bincount(row[hit], logs[at[hit]], b - a) + end_part
                 known = np.bincount(row[hit], minlength=b - a) + (end > 0)
@@ -282,9 +301,12 @@ def ranks(counts: np.ndarray, frequent: int) -> np.ndarray:
 
 def pairs_of(rank: np.ndarray, ids: np.ndarray, frequent: int) -> np.ndarray:
     """(frequent + 1) ** 2 counts: how often each rank stands before each other one in ids, in which START leads every text."""
-    left, right = rank[ids[:-1]], rank[ids[1:]]
-    real = ids[1:] != START
-    return np.bincount(left[real] * (frequent + 1) + right[real], minlength=(frequent + 1) ** 2)
+    own = rank[ids]
+    cells = own[:-1] * (frequent + 1)
+    cells += own[1:]
+    # What stands before a START goes into one cell more.
+    cells[ids[1:] == START] = (frequent + 1) ** 2
+    return np.bincount(cells, minlength=(frequent + 1) ** 2 + 1)[:-1]
 
 
 def beside(pairs: np.ndarray, near: int = NEAR) -> np.ndarray:
@@ -360,13 +382,23 @@ class ClassModel:
         p = self.p
         return (p["Q"] * np.float32(p["Q"].shape[0] ** -0.5)) @ p["K"].T, p["V"] @ p["O"]
 
-    def attend(self, inputs: np.ndarray):
-        """inputs (n, LENGTH) of input numbers to the hidden layer (n * STRIDE, hidden) and what the gradients need, until the next call."""
-        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
+    def tables(self) -> tuple:
+        """What attend(), forward() and lower() take of the weights alone, until the next call."""
+        p, d, kind = self.p, self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
         between, brought = self.products()
         # A last column of ones gives each row's sum with the same product.
         named, place = room("named", kind, len(p["E"]), d + 1), np.zeros((LENGTH, d + 1), kind)
         named[:, :d], named[:, d], place[:, :d] = p["E"], 1, p["P"]
+        kind = np.dtype(np.result_type(self.class_after, p["c"]).type)
+        before = np.add(self.class_after, p["c"], out=room("classes", kind, *self.class_after.shape))
+        # The shares' logs lie between -70 and 0, one of them near 0.
+        steep = (np.abs(p["W"]).sum(axis=0) + np.abs(p["c"])).max() > SAFE
+        return between, brought, named, place, np.concatenate((brought, p["b"][None], p["S"])), before, steep
+
+    def attend(self, inputs: np.ndarray, tables: tuple):
+        """inputs (n, LENGTH) of input numbers to the hidden layer (n * STRIDE, hidden) and what the gradients need, until the next call."""
+        p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
+        between, brought, named, place, mixing = tables[:5]
         x = named.take(inputs, axis=0, out=room("x", kind, n, LENGTH, d + 1), mode="clip")
         x += place
         # What attention finds, a one, and the place's own input.
@@ -383,32 +415,27 @@ class ClassModel:
         o = np.matmul(a, x, out=room("o", kind, n, STRIDE, d + 1))
         total = o[:, :, d:]
         np.divide(o, total, out=both[:, :, : d + 1])
-        h = np.matmul(flat, np.concatenate((brought, p["b"][None], p["S"])), out=room("h", kind, n * STRIDE, len(p["b"])))
+        h = np.matmul(flat, mixing, out=room("h", kind, n * STRIDE, len(p["b"])))
         np.tanh(h, out=h)
         return h, (flat, x, q, a, total, between, brought)
 
-    def forward(self, inputs: np.ndarray):
-        """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes) and what the gradients need, until the next call."""
-        h, kept = self.attend(inputs)
+    def forward(self, inputs: np.ndarray, tables: tuple | None = None):
+        """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes), where exp() could pass single precision less each row's largest, and what the gradients need, until the next call."""
+        tables = self.tables() if tables is None else tables
+        before, steep = tables[5:]
+        h, kept = self.attend(inputs, tables)
         size = len(h), len(self.p["c"])
         logits = np.matmul(h, self.p["W"], out=room("logits", np.dtype(h.dtype.type), *size))
-        kind = np.dtype(np.result_type(self.class_after, self.p["c"]).type)
-        before = np.add(self.class_after, self.p["c"], out=room("classes", kind, *self.class_after.shape))
-        logits += before.take(np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), axis=0, out=room("before", kind, *size), mode="clip")
-        return logits, (h, *kept)
-
-    def lower(self, logits: np.ndarray) -> None:
-        """Takes each row's largest logit from it, where exp() could pass single precision without."""
-        # The shares' logs lie between -70 and 0, one of them near 0.
-        if (np.abs(self.p["W"]).sum(axis=0) + np.abs(self.p["c"])).max() > SAFE:
+        logits += before.take(np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), axis=0, out=room("before", np.dtype(before.dtype.type), *size), mode="clip")
+        if steep:
             logits -= logits.max(axis=1, keepdims=True)
+        return logits, (h, *kept)
 
-    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, tables: tuple | None = None) -> np.ndarray:
         """Natural logs, (n, STRIDE), of targets (ids) given inputs."""
-        logits, _ = self.forward(inputs)
-        self.lower(logits)
-        last, goal = np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), self.rank[targets.ravel()]
-        picked = logits[np.arange(len(goal)), self.class_of[goal]]
+        logits, _ = self.forward(inputs, tables)
+        last, goal = np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), self.rank.take(targets.ravel())
+        picked = logits[np.arange(len(goal)), self.class_of.take(goal)]
         np.exp(logits, out=logits)
         return (picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype)) + self.after[last, goal] + self.within[targets.ravel()]).reshape(targets.shape)
 
@@ -417,7 +444,6 @@ class ClassModel:
         p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
         logits, (h, both, x, q, a, total, between, brought) = self.forward(inputs)
         hidden = h.shape[1]
-        self.lower(logits)
         goal, w = self.class_of[self.rank[targets.ravel()]], real.ravel().astype(kind)
         w /= max(w.sum(), 1)
         at, ones = np.arange(len(goal)), np.ones(len(goal), kind)
@@ -449,10 +475,13 @@ class ClassModel:
         gx += np.matmul(a.transpose(0, 2, 1), go[:, :, :d], out=room("gx found", kind, n, LENGTH, d))
         gx[:, CONTEXT:] += np.matmul(flat, np.concatenate((p["S"].T, between.T)), out=room("gx own", kind, n * STRIDE, d)).reshape(n, STRIDE, d)
         grad["P"] = (np.ones(n, kind) @ gx.reshape(n, -1)).reshape(LENGTH, d)
-        cells = np.add(inputs.reshape(-1, 1) * d, np.arange(d), out=room("cells", np.dtype(np.int64), n * LENGTH, d))
         # Of one dtype object, which a pickled array's is not: add.at() takes many times as long otherwise.
         grad["E"] = np.zeros(p["E"].shape, kind)
-        np.add.at(grad["E"].reshape(-1), cells.reshape(-1), gx.reshape(-1))
+        # Two numbers at once, as a complex one: sums are the same, with half as many places.
+        two = kind if d % 2 else np.dtype(np.result_type(kind, np.complex64).type)
+        wide = d * kind.itemsize // two.itemsize
+        cells = np.arange(grad["E"].size * kind.itemsize // two.itemsize).reshape(-1, wide).take(inputs.reshape(-1), axis=0, out=room("cells", np.dtype(np.int64), n * LENGTH, wide), mode="clip")
+        np.add.at(grad["E"].reshape(-1).view(two), cells.reshape(-1), gx.reshape(-1).view(two))
         return loss, grad
 
     def fit(self, windows: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = SEED, least: float = 0.1, once: bool = False) -> ClassModel:
@@ -525,11 +554,11 @@ def windows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def score_texts(model: ClassModel, ids: list[np.ndarray], at_once: int = 400) -> np.ndarray:
     """log10 of each text's probability, its end included; each id is scored once."""
     windows, text = windows_of(ids)
-    out = np.zeros(len(ids))
+    out, tables = np.zeros(len(ids)), model.tables()
     for a in range(0, len(windows), at_once):
         w = windows[a : a + at_once]
         goal = w[:, CONTEXT + 1 :]
-        logs = model.log_probabilities(model.input_of[w[:, :-1]], goal)
+        logs = model.log_probabilities(model.input_of.take(w[:, :-1]), goal, tables)
         # END repeats up to the window's end; its first place counts.
         logs[:, 1:][goal[:, :-1] == END] = 0
         out += np.bincount(text[a : a + at_once], logs.sum(axis=1, dtype=np.float64), len(ids))

@@ -9,11 +9,13 @@ packed. Null doc_id: kept as null. Other columns are ignored."""
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 FULL, END_ID = 2048, 1
 #: Chunks in each of the two generations that a worker remembers; about 200 bytes each.
 REMEMBER = 150_000
+#: Words of so many bytes at most, the space before them included, are merged side by side.
+LETTERS = 31
+#: Bytes of letters below U+0250: a-z, A-Z, the leads C3 to C8 and what follows a lead.
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
 
 
 def binary_pieces(n: int, full: int = FULL) -> list[tuple[int, int]]:
@@ -35,6 +42,89 @@ def binary_pieces(n: int, full: int = FULL) -> list[tuple[int, int]]:
     return out
 
 
+class Merges:
+    """A byte-level BPE's merges for many words side by side."""
+
+    NO, SLOTS = 1 << 30, 18
+
+    def __init__(self, model: dict, table: list[str]):
+        vocab = model["vocab"]
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        self.none = max(vocab.values()) + 1
+        self.byte = np.array([vocab[x] for x in table], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.feed, self.dot, self.comma = self.byte[[10, 46, 44]]
+        keys = np.array([vocab[a] * (self.none + 1) + vocab[b] for a, b in pairs], np.int64)
+        # A later merge of the same pair counts, as in the tokenizer; linear probing, filled by hash.
+        self.keys, self.rank = np.full(1 << self.SLOTS, -1, np.int64), np.full(1 << self.SLOTS, self.NO, np.int64)
+        for key, slot, rank in zip(keys.tolist(), self._slot(keys).tolist(), range(len(keys))):
+            while self.keys[slot] not in (-1, key):
+                slot = (slot + 1) % len(self.keys)
+            self.keys[slot], self.rank[slot] = key, rank
+
+    @classmethod
+    def of(cls, path: str, table: list[str]) -> Merges | None:
+        """None where merges alone do not tell the ids."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        return cls(model, table) if plain and all(x in model["vocab"] for x in table) and 2 * len(model["merges"]) < 1 << cls.SLOTS else None
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, NO if it has none."""
+        keys = left * (self.none + 1) + right
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.rank[slot], self.NO)
+        more = np.flatnonzero((held != keys) & (held != -1))
+        while len(more):
+            slot[more] = (slot[more] + 1) % len(self.keys)
+            held = self.keys[slot[more]]
+            hit = held == keys[more]
+            out[more[hit]] = self.rank[slot[more[hit]]]
+            more = more[~hit & (held != -1)]
+        return out
+
+    def apply(self, raw: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """raw (most bytes, words), those that are real: each word's ids in order, none in other places. In each round each word merges its first pair of least rank."""
+        most, n = raw.shape
+        out = np.full((most, n), self.none, np.int64)
+        columns = np.arange(n)
+        # The last row is what lies before the first and after the last byte.
+        ids = np.full((most + 1, n), self.none, np.int64)
+        ids[:-1] = np.where(real, self.byte[raw], self.none)
+        after = np.repeat(np.arange(1, most + 2), n).reshape(-1, n)
+        before = after - 2
+        # A rank and its place in one number.
+        best = np.full((most + 1, n), self.NO, np.int64)
+        best[: most - 1] = self._placed(self._ranks(ids[: most - 1].ravel(), ids[1:most].ravel()).reshape(-1, n), np.arange(most - 1)[:, None])
+        while n := len(columns):
+            least = best.min(axis=0)
+            go = least < self.NO
+            if (active := int(go.sum())) < 0.75 * n:
+                out[:, columns[~go]] = ids[:-1, ~go]
+                if not active:
+                    break
+                ids, after, before, best, columns, least = (x[..., go] for x in (ids, after, before, best, columns, least))
+                n, go = active, np.ones(active, bool)
+            c = np.flatnonzero(go)
+            at, own = least[c] & 31, self.made[least[c] >> 5]
+            gone = after[at, c]
+            behind, ahead = after[gone, c], before[at, c]
+            ids[at, c], ids[gone, c], best[gone, c] = own, self.none, self.NO
+            after[at, c], before[behind, c] = behind, at
+            ranks = self._ranks(np.concatenate((own, ids[ahead, c])), np.concatenate((ids[behind, c], own)))
+            best[at, c] = self._placed(ranks[: len(c)], at)
+            best[ahead, c] = self._placed(ranks[len(c) :], ahead)
+        return out
+
+    def _placed(self, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.where(ranks < self.NO, ranks * 32 + at, self.NO)
+
+
 class WordwiseTokenizer:
     """Ids of whole texts from a byte-level BPE tokenizer, remembered by word.
 
@@ -58,6 +148,7 @@ class WordwiseTokenizer:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.table = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+        self.merges = Merges.of(path, self.table)
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.packed[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
@@ -116,6 +207,95 @@ class WordwiseTokenizer:
         out[0] = self._bare(words[0])
         return b"".join(out)
 
+    def column(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts one after the other, unsigned 32-bit, where each text's begin, with the end behind), the texts' UTF-8 bytes lying at offsets in data.
+
+        The ids of ids(), none for an empty text, but each different word is looked up once, and those of letters are merged side by side."""
+        n = len(offsets) - 1
+        if not n or offsets[-1] == offsets[0]:
+            return np.zeros(0, "<u4"), np.zeros(n + 1, np.int64)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        texts = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(np.ascontiguousarray(data))])
+        # A line feed between visible characters is a word of the pattern by itself, so texts are cut before it as before a space.
+        feeds = np.searchsorted(np.flatnonzero(data == 10), offsets)
+        spaced = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets + feeds), pa.py_buffer(data.tobytes().replace(b"\n", b" \n"))])
+        cut = pc.split_pattern(spaced, " ")
+        heads = np.concatenate(([0], np.cumsum(np.array(pc.list_value_length(cut), np.int64))))
+        every = cut.flatten()
+        named = every.dictionary_encode()
+        words, codes = named.dictionary.cast(pa.large_string()), np.array(named.indices, np.int64)
+        pool, begins, sizes = self._merged(words)
+        # As in ids(): texts with such words, or with a special token that holds white space, can't be taken apart.
+        rest, odd = np.flatnonzero(sizes < 0), np.zeros(len(words), bool)
+        found: list[bytes] = []
+        for i, word in zip(rest.tolist(), words.take(pa.array(rest)).to_pylist()):
+            own = word[1:] if word[:1] == "\n" else word
+            odd[i] = not own or own[0].isspace() or own[-1].isspace()
+            found.append(b"" if odd[i] else self._remember(word) if own is word else self._bare("\n") + self._bare(own))
+        alone = np.add.reduceat(odd[codes], heads[:-1], dtype=np.int64) > 0
+        for x in self.special:
+            if " " in x or "\n" in x:
+                alone |= np.array(pc.match_substring(texts, x), bool)
+        # A text's first word has no space before it; a text that stands alone is one entry, with nothing for its other words.
+        last = len(words) + n
+        codes[np.repeat(alone, np.diff(heads))] = last
+        codes[heads[:-1]] = np.arange(len(words), last)
+        for i, word in enumerate(every.take(pa.array(heads[:-1])).to_pylist()):
+            text = texts[i].as_py() if alone[i] else word
+            found.append(b"" if not text else self.ids(text) if alone[i] else self._bare(word))
+        found.append(b"")
+        lengths = np.array(list(map(len, found)), np.int64) // 4
+        at = len(pool) + np.cumsum(lengths) - lengths
+        pool = np.concatenate((pool, np.frombuffer(b"".join(found), "<u4")))
+        begins[rest], sizes[rest] = at[: len(rest)], lengths[: len(rest)]
+        begins, sizes = np.concatenate((begins, at[len(rest) :])), np.concatenate((sizes, lengths[len(rest) :]))
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        places = np.repeat(begins[codes] - (ends - counts), counts)
+        places += np.arange(len(places))
+        return pool[places], np.concatenate(([0], ends))[heads]
+
+    def _merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many it has) of the words after a space (or a line feed, which they then start with) of LETTERS bytes at most,
+        letters below U+0250 and one of . and , at most behind them. How many: -1 for the other words."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        start, stop = offsets[:-1], offsets[1:]
+        begins, sizes = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        if self.merges is None or not len(data):
+            return np.zeros(0, "<u4"), begins, sizes
+        full = stop > start
+        fed = full & (data[np.minimum(start, len(data) - 1)] == 10)
+        tail = np.where(full, data[stop - 1], 0)
+        marked = (tail == 46) | (tail == 44)
+        first, end = start + fed, stop - marked
+        # Bytes of 97 and B7 behind C3 are no letters; other bytes behind C3 to C8 are.
+        other = ~LETTER[data]
+        other[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        others = np.concatenate(([0], np.cumsum(other, dtype=np.int32)))
+        size = end - first + ~fed
+        fits = (end > first) & (size <= LETTERS) & (others[np.maximum(end, first)] == others[first])
+        pools, at = [], 0
+        lower = 0
+        for upper in (4, 6, 8, 10, 12, 16, 24, LETTERS):
+            own = np.flatnonzero(fits & (size > lower) & (size <= upper))
+            lower = upper
+            for own in np.split(own, range(1 << 16, len(own), 1 << 16)):
+                if not len(own):
+                    continue
+                rows = np.arange(upper)[:, None]
+                raw = data.take(first[own] - ~fed[own] + rows, mode="clip")
+                raw[0, ~fed[own]] = 32
+                merged = self.merges.apply(raw, rows < size[own])
+                none = self.merges.none
+                merged = np.concatenate((np.where(fed[own], self.merges.feed, none)[None], merged, np.where(marked[own], np.where(tail[own] == 46, self.merges.dot, self.merges.comma), none)[None])).T
+                real = merged != none
+                pools.append(merged[real].astype("<u4"))
+                sizes[own] = real.sum(axis=1)
+                begins[own] = at + np.cumsum(sizes[own]) - sizes[own]
+                at += len(pools[-1])
+        return np.concatenate(pools) if pools else np.zeros(0, "<u4"), begins, sizes
+
     def _remember(self, word: str) -> bytes:
         if (ids := self.new.get(word)) is None:
             if (ids := self.old.pop(word, None)) is None:

@@ -850,3 +850,30 @@ def test_training_step_of_an_unpickled_model():
     few = m.log_probabilities(x[:3], goal[:3])
     m.step(x[5:], goal[5:], real[5:])
     assert all((kept[k] == grad[k]).all() for k in kept) and np.abs(m.log_probabilities(x, goal)[:3] - few).max() < 1e-4 and m.step(x, goal, real)[0] == loss
+
+
+def test_ids_by_column_are_the_tokenizers():
+    """Texts at once, each different word merged or looked up once: the ids of the tokenizer itself, whatever stands beside a word."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcdeéßñüžǆthouie"), r.integers(1, 45))) + str(r.choice(["", ".", ",", "!", "×", "÷"])) for _ in range(800)]
+    odd = ["", " ", "a  b", "a\n b", "\n\n", "\n", "don't I'll 'tis", "a\tb c", "日本 語。 テ", "<|endoftext|> a <|endoftext|>b", "x.\ny, z.\n\nq", " lead", "trail ", "trail\n", "\nlead a", "a \x1c b", "a b c  d", ". , .\n,", "naïve café.\nÉté, × a×b ÷", "aaaa aaaaaaaaa.\naaaaaaa", "ǅ ɐ ɏ я.", "b \nc"]
+    texts = [*odd, *["".join(w + str(r.choice([" ", "\n"], p=[0.9, 0.1])) for w in r.choice(words, 60)).strip() for _ in range(60)]]
+    data, offsets = "".join(texts).encode(), np.cumsum([0, *[len(t.encode()) for t in texts]])
+    w = packing.WordwiseTokenizer(TOKENIZER)
+    assert w.merges is not None
+    for _ in range(2):
+        ids, bounds = w.column(np.frombuffer(data, np.uint8), offsets)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [w.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    # Words of letters are merged side by side and not remembered one by one.
+    few = packing.WordwiseTokenizer(TOKENIZER)
+    few.column(np.frombuffer(b"water stone. house\nriver, light", np.uint8), np.array([0, 32]))
+    assert not few.new
+    assert [len(x) for x in w.column(np.zeros(0, np.uint8), np.zeros(3, np.int64))] == [0, 3] and [len(x) for x in w.column(np.zeros(0, np.uint8), np.zeros(1, np.int64))] == [0, 1]
+
+
+def test_places_are_those_of_a_binary_search():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000):
+        words = np.unique(np.concatenate((r.integers(0, 2**64, n, dtype=np.uint64), np.arange(n // 2, dtype=np.uint64))))
+        own = np.concatenate((words, r.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 3, 2**64 - 1], np.uint64)))
+        assert (lm.Places(words).of(own) == np.searchsorted(words, own)).all()
