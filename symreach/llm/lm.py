@@ -42,6 +42,8 @@ SHARE, TRAINER_RATE, TRAINER_WINDOWS, MOST_TRAINERS = 1.0, 0.002, 8192, 512
 RANGE_BITS, GROUP_BYTES = 9, 16 << 20
 #: Texts whose words are looked up at once, in bytes.
 TOKEN_BYTES = 4 << 20
+#: Bytes of texts that are hashed at once: what is made of them stays in a core's cache.
+HASH_BYTES = 1 << 18
 #: Windows that are dealt out to trainers at once, in a row for each that gets some.
 DEAL = 16_384
 IDS, FREQUENT, FREQUENT_IDS = 50_257, 1 << 18, 2_048
@@ -107,7 +109,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(full), _runs(values, bounds), _runs(n.astype(np.int64), bounds)], ["range", "words", "n"])
 
     for batch in batches:
-        for _, _, data, offsets in text_slices(batch.column(0)):
+        for _, _, data, offsets in text_slices(batch.column(0), HASH_BYTES):
             held.append(word_hashes(data, offsets)[0])
             size += len(held[-1])
             if size > 6_000_000:
@@ -198,7 +200,7 @@ def _base_parts(shared, n_all: int, n_kinds: int):
 
         for batch in batches:
             heads = [np.array(batch.column(i), np.int64) for i in range(2)]
-            for a, b, data, offsets in text_slices(batch.column(2)):
+            for a, b, data, offsets in text_slices(batch.column(2), HASH_BYTES):
                 own, bounds = word_hashes(data, offsets)
                 row = np.repeat(np.arange(b - a), np.diff(bounds))
                 at = np.minimum(places.of(own), max(len(words) - 1, 0))
@@ -393,12 +395,15 @@ class ClassModel:
         before = np.add(self.class_after, p["c"], out=room("classes", kind, *self.class_after.shape))
         # The shares' logs lie between -70 and 0, one of them near 0.
         steep = (np.abs(p["W"]).sum(axis=0) + np.abs(p["c"])).max() > SAFE
-        return between, brought, named, place, np.concatenate((brought, p["b"][None], p["S"])), before, steep
+        # No product of a query and a key passes what the lengths of the longest allow.
+        longest = lambda x: float(np.sqrt(np.einsum("ij,ij->i", x, x).max(initial=0)))
+        far = not (longest(p["E"] @ between) + longest(p["P"] @ between)) * (longest(p["E"]) + longest(p["P"])) <= SAFE
+        return between, brought, named, place, np.concatenate((brought, p["b"][None], p["S"])), far, before, steep
 
     def attend(self, inputs: np.ndarray, tables: tuple):
         """inputs (n, LENGTH) of input numbers to the hidden layer (n * STRIDE, hidden) and what the gradients need, until the next call."""
         p, n, d, kind = self.p, len(inputs), self.p["Q"].shape[0], np.dtype(self.p["E"].dtype.type)
-        between, brought, named, place, mixing = tables[:5]
+        between, brought, named, place, mixing, far = tables[:6]
         x = named.take(inputs, axis=0, out=room("x", kind, n, LENGTH, d + 1), mode="clip")
         x += place
         # What attention finds, a one, and the place's own input.
@@ -407,7 +412,7 @@ class ClassModel:
         flat = both.reshape(n * STRIDE, 2 * d + 1)
         q = np.matmul(flat[:, d + 1 :], between, out=room("q", kind, n * STRIDE, d)).reshape(n, STRIDE, d)
         a = np.matmul(q, x[:, :, :d].transpose(0, 2, 1), out=room("a", kind, n, STRIDE, LENGTH))
-        if max(a.max(initial=0), -a.min(initial=0)) > SAFE:
+        if far and max(a.max(initial=0), -a.min(initial=0)) > SAFE:
             a -= (a + self.mask).max(axis=2, keepdims=True)
             np.minimum(a, SAFE, out=a)
         np.exp(a, out=a)
@@ -422,7 +427,7 @@ class ClassModel:
     def forward(self, inputs: np.ndarray, tables: tuple | None = None):
         """inputs (n, LENGTH) of input numbers to class logits (n * STRIDE, classes), where exp() could pass single precision less each row's largest, and what the gradients need, until the next call."""
         tables = self.tables() if tables is None else tables
-        before, steep = tables[5:]
+        before, steep = tables[6:]
         h, kept = self.attend(inputs, tables)
         size = len(h), len(self.p["c"])
         logits = np.matmul(h, self.p["W"], out=room("logits", np.dtype(h.dtype.type), *size))
@@ -435,7 +440,7 @@ class ClassModel:
         """Natural logs, (n, STRIDE), of targets (ids) given inputs."""
         logits, _ = self.forward(inputs, tables)
         last, goal = np.minimum(inputs[:, CONTEXT:], self.frequent).ravel(), self.rank.take(targets.ravel())
-        picked = logits[np.arange(len(goal)), self.class_of.take(goal)]
+        picked = logits.reshape(-1).take(np.arange(0, logits.size, logits.shape[1]) + self.class_of.take(goal))
         np.exp(logits, out=logits)
         return (picked - np.log(logits @ np.ones(logits.shape[1], logits.dtype)) + self.after[last, goal] + self.within[targets.ravel()]).reshape(targets.shape)
 
@@ -446,13 +451,13 @@ class ClassModel:
         hidden = h.shape[1]
         goal, w = self.class_of[self.rank[targets.ravel()]], real.ravel().astype(kind)
         w /= max(w.sum(), 1)
-        at, ones = np.arange(len(goal)), np.ones(len(goal), kind)
-        picked = logits[at, goal]
+        at, ones = np.arange(0, logits.size, logits.shape[1]) + goal, np.ones(len(goal), kind)
+        picked = logits.reshape(-1).take(at)
         g = np.exp(logits, out=logits)
         mass = g @ np.ones(g.shape[1], kind)
         loss = float(((np.log(mass) - picked) * w).sum())
         g *= (w / mass)[:, None]
-        g[at, goal] -= w
+        g.reshape(-1)[at] -= w
         grad = {"W": h.T @ g, "c": ones @ g}
         # Gradients of the hidden layer's sums and, behind them, of q.
         back = room("back", kind, n, STRIDE, hidden + d)
@@ -551,7 +556,7 @@ def windows_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return padded[start[:, None] + np.arange(LENGTH + 1)], text
 
 
-def score_texts(model: ClassModel, ids: list[np.ndarray], at_once: int = 400) -> np.ndarray:
+def score_texts(model: ClassModel, ids: list[np.ndarray], at_once: int = 192) -> np.ndarray:
     """log10 of each text's probability, its end included; each id is scored once."""
     windows, text = windows_of(ids)
     out, tables = np.zeros(len(ids)), model.tables()

@@ -866,11 +866,21 @@ def test_ids_by_column_are_the_tokenizers():
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [w.whole.encode(t, add_special_tokens=False).ids for t in texts]
     # Words of letters are merged side by side and not remembered one by one.
     few = packing.WordwiseTokenizer(TOKENIZER)
-    few.column(np.frombuffer(b"water stone. house\nriver, light", np.uint8), np.array([0, 32]))
+    few.column(np.frombuffer(b"water stone. house\nriver, light", np.uint8), np.array([0, 31]))
     assert not few.new
     assert [len(x) for x in w.column(np.zeros(0, np.uint8), np.zeros(3, np.int64))] == [0, 3] and [len(x) for x in w.column(np.zeros(0, np.uint8), np.zeros(1, np.int64))] == [0, 1]
 
 
+def test_bounded_products_are_not_scanned():
+    """Where the lengths of queries and keys bound their products no array is searched for large ones; where they do not, one is."""
+    m = lm.ClassModel(np.random.default_rng(0).integers(0, 50, lm.IDS + 1))
+    bound = lambda: np.abs((m.p["E"][:, None] + m.p["P"]).reshape(-1, lm.WIDTH)[:4000] @ m.products()[0] @ (m.p["E"][:500] + m.p["P"][3]).T).max()
+    m.p["E"] *= 0.3
+    assert not m.tables()[5] and bound() <= lm.SAFE
+    m.p["Q"] *= 400
+    assert m.tables()[5] and bound() > lm.SAFE
+
+
 def test_places_are_those_of_a_binary_search():
     r = np.random.default_rng(5)
     for n in (0, 1, 7, 5000):
