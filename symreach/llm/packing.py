@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +149,11 @@ class WordwiseTokenizer:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = [b for b in range(256) if b not in plain]
         self.table = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
-        self.merges = Merges.of(path, self.table)
+        self.path = path
+
+    @cached_property
+    def merges(self) -> Merges | None:
+        return Merges.of(self.path, self.table)
 
     def _whole(self, text: str) -> bytes:
         return b"".join([self.packed[i] for i in self.whole.encode(text, add_special_tokens=False).ids])
