@@ -167,3 +167,41 @@ def test_dynamic_fanout_of_one_large_file(spark):
     assert rows == sorted({(s, d) for s in [*range(1000, 1100), 5] for d in range(50) if s != d})
     # Pairs of names of one file are not shuffled again to be told apart.
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_dynamic_fanout_shuffles_no_row_for_each_name_and_part_and_writes_small_files(spark, tmp_path):
+    from pathlib import Path
+
+    from symreach.plans.plugins import dynamic_fanout
+
+    nodes = spark.range(9000).selectExpr("id AS node_id", "concat('m.n', id) AS fqname", "'function' AS kind", "'/w/m.py' AS path")
+    got = dynamic_fanout(spark.range(300).selectExpr("id * 20 AS src", "id % 7 AS dst"), nodes)
+    got.write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    # 300 importers, in the file themselves, and 9,000 names, which are more than a block.
+    n = 300 * 8999
+    assert out.where("src % 20 = 0 AND src < 6000 AND dst BETWEEN 0 AND 8999 AND src <> dst").count() == out.distinct().count() == out.count() == n
+    # Half a byte a pair; two where all names of an importer stand together.
+    assert sum(x.stat().st_size for x in Path(tmp_path / "out").glob("*.parquet")) < n / 2
+    # Names meet importers as arrays: it was a row for each name in each of 64 parts.
+    run = got._jdf.queryExecution()
+    assert run.toRdd().count() == n
+    assert shuffled_rows(run.executedPlan()) < 30_000
+
+
+def shuffled_rows(plan) -> int:
+    """Rows that the exchanges of a plan that has run have written."""
+    found, todo = 0, [plan]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            found += p.metrics().apply("shuffleRecordsWritten").value()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        else:
+            c = p.children()
+            todo += [c.apply(i) for i in range(c.size())]
+    return found
