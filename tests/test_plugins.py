@@ -169,6 +169,21 @@ def test_dynamic_fanout_of_one_large_file(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_dynamic_fanout_meets_each_pair_of_blocks_once(spark, monkeypatch):
+    from symreach.plans import plugins
+
+    monkeypatch.setattr(plugins, "BLOCK", 16)
+    monkeypatch.setattr(plugins, "RUN", 5)
+    # A large and a small file, one of many names, one of many importers; ten names stand in two files.
+    files = {"/w/a.py": (range(60), range(40, 140)), "/w/b.py": (range(200, 203), range(2)), "/w/c.py": (range(50, 150), [7]), "/w/d.py": ([300], range(290, 380))}
+    nodes = spark.createDataFrame([(i, f"m.n{i}", "class", path) for path, (names, _) in files.items() for i in names], "node_id long, fqname string, kind string, path string")
+    # Of each file a name that stands in no other is imported.
+    imports = spark.createDataFrame([(s, own) for own, (_, srcs) in zip((0, 202, 149, 300), files.values()) for s in srcs] + [(None, 0)], "src long, dst long")
+    at = {i: {p for p, (names, _) in files.items() if i in names} for names, _ in files.values() for i in names}
+    want = {(r["src"], i) for r in imports.collect() if r["src"] is not None for p in at[r["dst"]] for i in files[p][0] if i != r["src"]}
+    assert sorted(tuple(r) for r in plugins.dynamic_fanout(imports, nodes).collect()) == sorted((s, d, 0) for s, d in want)
+
+
 def test_dynamic_fanout_shuffles_no_row_for_each_name_and_part_and_writes_small_files(spark, tmp_path):
     from pathlib import Path
 
